@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def binary_values(array: pa.Array) -> list[bytes]:
 
 def chunks(array: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes; a longer text is a range of its own."""
-    sizes = np.array([0 if x is None else x for x in pa.compute.binary_length(array).to_pylist()], dtype=np.int64)
+    sizes = np.array([0 if x is None else x for x in pc.binary_length(array).to_pylist()], dtype=np.int64)
     start, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if i > start and total + n > most:
