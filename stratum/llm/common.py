@@ -25,6 +25,8 @@ LONG_WORD = 64
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: every ASCII byte but letters and digits
+NON_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -90,7 +92,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """Words of several texts in one buffer: ``start``/``end`` byte offsets and ``first`` word of each text."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, separators: np.ndarray = _IS_SPACE):
         self.buffer = b"".join(texts)
         data = np.frombuffer(self.buffer, dtype=np.uint8)
         bounds = np.zeros(len(texts) + 1, dtype=np.int64)
@@ -98,7 +100,7 @@ class Words:
         if lower:
             data = data + (((data >= 65) & (data <= 90)).astype(np.uint8) << np.uint8(5))
         self.data = data
-        solid = ~_IS_SPACE[data]
+        solid = ~separators[data]
         begins = solid.copy()
         begins[1:] &= ~solid[:-1]
         inner = bounds[:-1][bounds[:-1] < len(data)]
