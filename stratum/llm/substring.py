@@ -201,3 +201,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cell
 
 def op8_substring_dedup(spark, sf_dir):
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP8_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM w WHERE len(w) >= 13
+), g AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i:i + 12], ' ')) AS first FROM s
+), r AS (
+  SELECT DISTINCT doc_id, i + k AS p FROM g, (SELECT unnest(range(0, 13)) AS k) WHERE first < doc_id
+), t AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w
+), k AS (
+  SELECT t.doc_id, string_agg(t.word, ' ' ORDER BY t.p) AS body, count(*) AS n FROM t ANTI JOIN r ON t.doc_id = r.doc_id AND t.p = r.p GROUP BY 1
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.body, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
