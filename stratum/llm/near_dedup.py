@@ -8,8 +8,10 @@
 3. First round: each member is paired with one pivot (the smallest id of the bucket it
    shares most often).  Verified links are closed to components.
 4. Second round: whatever two members of a bucket are still in different components are
-   paired.  A group of thousands of near copies is one component by then and gives no
-   pair; nothing that could join two components is skipped.
+   compared; nothing that could join two components is skipped.  Buckets of at most
+   ``BIG`` members give pairs.  Larger ones (merged where they share their pivot) are
+   dealt in blocks of ``BLOCK``: a task compares two blocks in memory, skips what is
+   already connected, and returns only the links that connect components.
 5. Verification compares minima in batches of ``BATCH``.  With m of n equal, the
    similarity has the posterior Beta(m + 1, n - m + 1); a pair is dropped once the
    chance of 0.8 or more is below ``MISS``.  Survivors are decided exactly, on the
@@ -36,6 +38,8 @@ BANDS = 40
 ROWS = 5
 BATCH = 40
 MISS = 1e-6
+BIG = 32
+BLOCK = 256
 SIGN_BYTES = 1 << 19
 
 
@@ -143,6 +147,46 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _compare_blocks(table: pa.Table, k: int, percent: int, count: int, bounds: list[tuple[int, int]]) -> pa.Table:
+    """Links between the components met in two blocks of a large bucket; at most one fewer than components."""
+    ids, roots, block = (table.column(c).to_pylist() for c in ("rep", "root", "block"))
+    n, lo, hi = len(ids), table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(n, count)
+    texts = binary_values(table.column("text").combine_chunks())
+    sets: list = [None] * n
+    parent = {r: r for r in roots}
+
+    def find(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    def own(i: int) -> set:
+        if sets[i] is None:
+            sets[i] = word_shingles(texts[i], k)
+        return sets[i]
+
+    root_of, block_of, links = np.array(roots), np.array(block), []
+    for i in range(n):
+        if block[i] != lo:
+            continue
+        other = np.flatnonzero((block_of == hi) & (root_of != root_of[i]) & ((np.arange(n) > i) | (lo != hi)))
+        matches = np.zeros(len(other), dtype=np.int64)
+        for upto, least in bounds:
+            matches += (sig[other, upto - BATCH : upto] == sig[i, upto - BATCH : upto]).sum(axis=1)
+            other, matches = other[matches >= least], matches[matches >= least]
+        for j in other[np.argsort(-matches, kind="stable")].tolist():
+            a, b = find(roots[i]), find(roots[j])
+            if a == b:
+                continue
+            both = len(own(i) & own(j))
+            if both and 100 * both >= percent * (len(own(i)) + len(own(j)) - both):
+                parent[a] = b
+                links.append((ids[i], ids[j]))
+    return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
+
+
 def near_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -182,9 +226,19 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     named = buckets.select("key", "rep", "n").join(roots.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
     open_keys = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
     rest = stage(named.join(open_keys, "key"), "open-buckets")
-    one, two = (rest.select("key", F.col("rep").alias(a), F.col("n").alias(f"n{a}"), F.col("root").alias(f"r{a}")) for a in "uv")
+    sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("pivot"))
+    small = rest.join(sizes.filter(F.col("m") <= BIG).select("key"), "key")
+    one, two = (small.select("key", F.col("rep").alias(a), F.col("n").alias(f"n{a}"), F.col("root").alias(f"r{a}")) for a in "uv")
     near = (F.col("ru") < F.col("rv")) & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-    across = stage(linked(one.join(two, "key").filter(near).select("u", "v").distinct()), "links")
+    across = linked(one.join(two, "key").filter(near).select("u", "v").distinct())
+
+    large = rest.join(sizes.filter(F.col("m") > BIG).select("key", "pivot"), "key").select("pivot", "rep", "root").distinct()
+    blocks = large.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = large.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(signs, "rep").join(partners.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("pivot", "rep", "root", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "sig", "text")
+    inside = dealt.groupBy("pivot", "lo", "hi").applyInArrow(lambda t: _compare_blocks(t, shingle, percent, count, bounds), "u long, v long")
+    across = stage(across.unionByName(inside), "links")
     if not across.isEmpty():
         roots = components(roots.select("u", "v").unionByName(across.select("u", "v")))
 
