@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from stratum.plans import graphs, relational, retrieval
+
+QUERIES: dict = relational.Q | graphs.Q | retrieval.Q
+ORACLES: dict = relational.SQL | graphs.SQL | retrieval.SQL
