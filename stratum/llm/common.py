@@ -38,12 +38,18 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def staged_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, removed at exit."""
+    path = f"{shared_dir(spark)}/stratum/{tag}-{uuid.uuid4().hex}"
+    atexit.register(drop_path, spark, path)
+    return path
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stratum/{tag}-{uuid.uuid4().hex}"
+    path = staged_path(spark, tag)
     df.write.mode("overwrite").parquet(path)
-    atexit.register(drop_path, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,4 +1,4 @@
-"""Histogram sort: splitters from exact byte counts, then one exchange.
+"""Histogram sort: splitters from exact byte counts, then one exchange of whole rows.
 
 The order is (64-bit text hash, doc_id), so equal texts are neighbours.  Every round
 counts, in each partition, the exact bytes, rows and extreme keys between candidate
@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.llm.common import stage
+from stratum.llm.common import stage, staged_path
 
 SHARDS = 40
 OVERHEAD = 16
@@ -26,6 +26,7 @@ TOLERANCE = 0.002
 PROBES = 16
 MAX_ROUNDS = 40
 SUB_ROWS = 1 << 20
+SUB_BYTES = 1 << 28
 SIGN = 1 << 63
 TOP = (1 << 128) - 1
 
@@ -122,50 +123,68 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE, probes
     return [state[s]["best"][1] for s in range(1, shards)], counts
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, overhead: int = OVERHEAD, sub_rows: int = SUB_ROWS) -> DataFrame:
-    """One row per row of docs: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
+def _key_columns(docs: DataFrame) -> tuple[Column, Column, Column]:
+    """Text hash, id (null: the smallest) and size of a row; every row finds its place from these alone."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    return F.xxhash64(text), F.coalesce(docs["doc_id"].cast("long"), F.lit(-SIGN)), F.octet_length(text).cast("long")
 
-    Size is the text's UTF-8 bytes (null: none) plus ``overhead``.  Slots are gapless
-    from 0 in the order (text hash, doc_id); a null doc_id sorts first in its group.
-    Repeated rows stay neighbours.  An empty table gives an empty result; fewer rows
-    than shards leave shards empty.  Within a shard, slots are numbered in sub-ranges
-    of at most about ``sub_rows`` rows, so no task sorts a whole shard.
+
+def placed(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, overhead: int = OVERHEAD, sub_rows: int = SUB_ROWS, sub_bytes: int = SUB_BYTES) -> DataFrame:
+    """Whole rows of docs after the exchange, with shard and slot.
+
+    The histogram runs on staged keys; the exchange moves the rows themselves.  Within a
+    shard, slots are numbered in sub-ranges of about ``sub_rows`` rows or ``sub_bytes``
+    bytes at most, so no task sorts a whole shard.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-SIGN)).alias("d"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
-    keys = stage(keys, "shard-keys")
+    h, d, size = _key_columns(docs)
+    keys = stage(docs.select(h.alias("h"), d.alias("d"), (size + overhead).alias("size")), "shard-keys")
     bounds, _ = splitters(keys, shards, tolerance)
-    n = keys.count()
+    n, total = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     # sub-ranges for numbering: hash quantiles are even, as hashes are, except for single groups
-    parts = max(1, -(-n // sub_rows)) * 4
+    parts = max(1, -(-n // sub_rows), -(-total // sub_bytes)) * 4
     cuts = sorted({*bounds, *((-SIGN + (k << 64) // parts, -SIGN) for k in range(1, parts))}) if n else []
     counted = _count(keys, cuts) if n else []
-    starts, seen, of_shard, in_shard = {}, 0, {}, 0
-    current = 0
+    starts, of_shard = [0] * (len(cuts) + 1), [0] * (len(cuts) + 1)
+    current = in_shard = 0
     for slot, _size, rows, _low, _high in counted:
         owner = sum(1 for b in bounds if b <= (cuts[slot - 1] if slot else (-SIGN - 1, 0)))
         if owner != current:
             current, in_shard = owner, 0
         starts[slot], of_shard[slot] = in_shard, owner
         in_shard += rows
-        seen += rows
 
-    def place(batches):
-        for batch in batches:
-            h, d = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("h", "d"))
-            sub = _slots(h, d, cuts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sub, pa.int32()), pa.array([of_shard[int(s)] for s in sub], pa.int32()), pa.array([starts[int(s)] for s in sub], pa.int64())], names=[*batch.schema.names, "sub", "shard", "base"])
+    def longs(values):
+        return F.lit(values).cast("array<long>")
 
-    placed = keys.mapInArrow(place, "doc_id long, h long, d long, size long, text_crc32 long, sub int, shard int, base long")
+    sub = F.lit(0)
+    if cuts:
+        edges = F.arrays_zip(longs([c[0] for c in cuts]).alias("h"), longs([c[1] for c in cuts]).alias("d"))
+        sub = F.size(F.filter(edges, lambda c: (c["h"] < F.col("h")) | ((c["h"] == F.col("h")) & (c["d"] <= F.col("d")))))
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), h.alias("h"), d.alias("d")).withColumn("sub", sub)
+    rows = rows.withColumn("shard", F.element_at(longs(of_shard), F.col("sub") + 1).cast("int"))
     rank = F.row_number().over(Window.partitionBy("sub").orderBy("h", "d"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + rank - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return rows.select("row.*", "shard", (F.element_at(longs(starts), F.col("sub") + 1) + rank - 1).alias("slot"))
+
 
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, **options) -> DataFrame:
+    """Exchange docs once, write one folder per shard (shard=0, ...), rows in slot order, and read it back."""
+    out = placed(docs, shards, **options)
+    out.sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    return docs.sparkSession.read.schema(out.schema).parquet(path)
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, **options) -> None:
-    """Exchange docs once and write one folder per shard, rows in slot order."""
-    plan = shard(docs, shards, **options).select(F.col("doc_id").alias("__id"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot")).dropDuplicates(["__id"])
-    out = docs.join(plan, docs["doc_id"].cast("long").eqNullSafe(plan["__id"])).drop("__id")
-    out.repartition(shards, "__shard").sortWithinPartitions("__shard", "__slot").write.mode("overwrite").partitionBy("__shard").parquet(path)
+
+def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, overhead: int = OVERHEAD, sub_rows: int = SUB_ROWS) -> DataFrame:
+    """One row per row of docs, read from the written shards: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
+
+    Size is the text's UTF-8 bytes (null: none) plus ``overhead``.  Slots are gapless
+    from 0 in the order (text hash, doc_id); a null doc_id sorts first in its group.
+    Rows that repeat an id are rows of their own and stay neighbours.  An empty table
+    gives an empty result; fewer rows than shards leave shards empty.
+    """
+    rows = write_shards(docs, staged_path(docs.sparkSession, "shards"), shards, tolerance=tolerance, overhead=overhead, sub_rows=sub_rows)
+    _, _, size = _key_columns(rows)
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), (size + overhead).alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_sharding(spark, sf_dir):

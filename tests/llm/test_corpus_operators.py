@@ -154,6 +154,32 @@ def test_sharding_is_even_and_gapless(docs):
     assert max(sizes) - min(sizes) <= 2 * max(r.size for r in rows)
 
 
+def test_shards_hold_every_row_once(spark, docs, tmp_path):
+    twice = docs.unionByName(docs.limit(30)).unionByName(docs.limit(30).selectExpr("doc_id", "concat(text, ' more') as text", "lang", "source", "n_chars"))
+    path = str(tmp_path / "shards")
+    sharding.write_shards(twice, path, 8, sub_rows=20)
+    kept = collections.Counter(map(tuple, spark.read.parquet(path).select(twice.columns).collect()))
+    assert kept == collections.Counter(map(tuple, twice.collect()))
+    slots, sizes = collections.defaultdict(list), collections.Counter()
+    for f in ds.dataset(path, partitioning="hive").get_fragments():
+        k, t = ds.get_partition_keys(f.partition_expression)["shard"], f.to_table().to_pydict()
+        assert t["slot"] == sorted(t["slot"])
+        slots[k] += t["slot"]
+        sizes[k] += sum(len((x or "").encode()) + 16 for x in t["text"])
+    assert set(slots) == set(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    rows = sharding.shard(twice, 8, sub_rows=20).collect()
+    assert {k: sum(r.size for r in rows if r.shard == k) for k in range(8)} == dict(sizes)
+    assert len(rows) == twice.count() and len({(r.shard, r.slot) for r in rows}) == len(rows)
+
+
+def test_sharding_result_comes_from_written_rows(docs, monkeypatch):
+    written = []
+    real = sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda d, *a, **k: written.append(real(d, *a, **k)) or written[-1])
+    sharding.shard(docs, 4)
+    assert set(docs.columns) < set(written[0].columns)
+
+
 def test_mix_meets_targets_and_repeats(docs):
     rows = mixing.mix(docs).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs.repartition(5)).collect()))
