@@ -13,7 +13,6 @@ left, fewer than j items in class j, is packed best-fit decreasing.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +28,11 @@ SMALL = 64
 GROUP = 64
 END_ID = 0
 FLUSH_PIECES = 1 << 14
+FLUSH_BYTES = 16 << 20
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 OPEN = "worker long, class int"
-FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "worker", "class", "ids"]
+FIELDS = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "worker", "class"]
 
 
 class Encoder:
@@ -102,26 +102,26 @@ def best_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
     return out
 
 
-def _batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 8 + [pa.int32(), pa.binary()]
-    keep = list(range(10 if with_ids else 9))
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(keep)
-    return pa.RecordBatch.from_arrays([pa.array(cols[k], kinds[k]) for k in keep], names=[FIELDS[k] for k in keep])
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 6 + [pa.binary(), pa.int64(), pa.int32()]
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=FIELDS)
 
 
 def _fill(items: dict[int, list[tuple]], j: int, sequence: int, out: list[tuple]) -> None:
     """One full bin of class j."""
     offset = 0
     for x in items[j]:
-        out.append((*x[:5], sequence, offset, None, None, *x[9:]))
+        out.append((*x[:4], sequence, offset, x[6], None, None))
         offset += x[2]
     items[j] = []
 
 
-def _level_one(batches: Iterator[pa.RecordBatch], path: str, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def _level_one(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     encode, worker, n = encoder(path), TaskContext.get().partitionId(), 0
     waiting: dict[int, list[tuple]] = {}
     out: list[tuple] = []
+    held = 0
     for batch in batches:
         for a, z in chunks(batch.column(1)):
             for doc_id, text in zip(batch.column(0).slice(a, z - a).to_pylist(), batch.column(1).slice(a, z - a).to_pylist(), strict=True):
@@ -129,23 +129,24 @@ def _level_one(batches: Iterator[pa.RecordBatch], path: str, capacity: int, with
                 start = 0
                 for length in cut(len(ids), capacity):
                     raw = ids[start : start + length].tobytes()
-                    item = (doc_id, start, length, zlib.crc32(raw), len(ids), None, None, None, None, *([raw] if with_ids else []))
+                    item = (doc_id, start, length, len(ids), None, None, raw, None, None)
                     j = item_class(length, capacity)
                     waiting.setdefault(j, []).append(item)
                     if len(waiting[j]) == j:
                         _fill(waiting, j, worker << 32 | n, out)
                         n += 1
                     start += length
-                if len(out) >= FLUSH_PIECES:
-                    yield _batch(out, with_ids)
-                    out = []
-    out += [(*x[:7], worker, j, *x[9:]) for j, items in sorted(waiting.items()) for x in items]
-    yield _batch(out, with_ids)
+                    held += len(raw)
+                    if len(out) >= FLUSH_PIECES or held >= FLUSH_BYTES:
+                        yield _batch(out)
+                        out, held = [], 0
+    out += [(*x[:7], worker, j) for j, items in sorted(waiting.items()) for x in items]
+    yield _batch(out)
 
 
-def _level_two(table: pa.Table, capacity: int, with_ids: bool) -> pa.Table:
+def _level_two(table: pa.Table, capacity: int) -> pa.Table:
     """Unfilled bins of one group of tasks: at most GROUP * (j - 1) items of each class j."""
-    rows = sorted(zip(*(table.column(f).to_pylist() for f in FIELDS[: 9 + with_ids]), strict=True), key=lambda x: (x[8], x[7], x[0] is not None, x[0] or 0, x[1]))
+    rows = sorted(zip(*(table.column(f).to_pylist() for f in FIELDS), strict=True), key=lambda x: (x[8], x[7], x[0] is not None, x[0] or 0, x[1]))
     group = rows[0][7] // GROUP
     base, n = 1 << 62 | group << 32, 0
     waiting: dict[int, list[tuple]] = {}
@@ -158,30 +159,30 @@ def _level_two(table: pa.Table, capacity: int, with_ids: bool) -> pa.Table:
             n += 1
     rest = [x for j in sorted(waiting) for x in waiting[j]]
     for x, (b, offset) in zip(rest, best_fit([x[2] for x in rest], capacity), strict=True):
-        out.append((*x[:5], base | (n + b), offset, None, None, *x[9:]))
-    return pa.Table.from_batches([_batch(out, with_ids)])
+        out.append((*x[:4], base | (n + b), offset, x[6], None, None))
+    return pa.Table.from_batches([_batch(out)])
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     A document is its tokens, then id 0; null and empty texts are that id alone.
-    ``ids`` are little-endian unsigned 32-bit values.  Rows that repeat an id are
+    ``ids`` are little-endian unsigned 32-bit values and go with their piece through
+    both levels; ``ids_crc32`` is taken from them as packed.  Rows that repeat an id are
     separate documents.  An empty table gives an empty result.
     """
-    extra = ", ids binary" if with_ids else ""
-    schema = f"{PIECES}, {OPEN}{extra}"
+    schema = f"{PIECES}, {OPEN}"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     from stratum.llm.common import stage
 
-    first = stage(rows.mapInArrow(lambda b: _level_one(b, tokenizer, capacity, with_ids), schema), "pack")
-    names = [f.name for f in first.schema][:7] + (["ids"] if with_ids else [])
-    done = first.filter("worker is null").select(*names)
-    left = first.filter("worker is not null").groupBy(F.floor(F.col("worker") / GROUP)).applyInArrow(lambda t: _level_two(t, capacity, with_ids), schema)
-    return done.unionByName(left.select(*names))
+    first = stage(rows.mapInArrow(lambda b: _level_one(b, tokenizer, capacity), schema), "pack")
+    done = first.filter("worker is null").select(FIELDS[:7])
+    left = first.filter("worker is not null").groupBy(F.floor(F.col("worker") / GROUP)).applyInArrow(lambda t: _level_two(t, capacity), schema)
+    return done.unionByName(left.select(FIELDS[:7])).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
 
 def op3_packing(spark, sf_dir):
+    """The pieces with a digest of their packed ids in place of the ids."""
     import public_tokenizers
 
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")

@@ -143,6 +143,18 @@ def test_packing_round_trip(docs, texts):
     assert sum(map(len, ids.values())) > 0.97 * 1024 * len(sequences)
 
 
+def test_packed_ids_reach_the_results(spark, docs):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.packing_stage(spark, docs, SF).collect()
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+    assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
+    table = packing.pa.table([[1], [0], [3], [3], [None], [None], [b"\1\0\0\0" * 3], [0], [341]], names=packing.FIELDS)
+    assert packing._level_two(table, 1024).column("ids").to_pylist() == [b"\1\0\0\0" * 3]
+    digests = collections.Counter((r.doc_id, r.start, r.ids_crc32) for r in packing.op3_packing(spark, SF).collect())
+    assert digests == collections.Counter((r.doc_id, r.start, zlib.crc32(r.ids)) for r in rows)
+
+
 def test_sharding_is_even_and_gapless(docs):
     rows = sharding.shard(docs, shards=8, sub_rows=20).collect()
     shards = collections.defaultdict(list)
