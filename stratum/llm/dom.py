@@ -1,9 +1,10 @@
 """DOM leaf blocks of raw html, without building a tree.
 
 A leaf block is the text between two block-level boundaries.  Scripts, styles, comments,
-the document head and other content that is never shown make no blocks.  Rules of the
-html standard that matter for raw pages are kept: a block-level start closes an open
-paragraph, list items and table cells close their like, stray end tags are ignored.
+titles and other content that is never shown make no blocks; fallback text does.  Rules
+of the html standard that matter for raw pages are kept: a block-level start closes an
+open paragraph, list items and table cells close their like, stray end tags are ignored,
+and a head ends at the first text or start tag that is not head content.
 """
 
 from __future__ import annotations
@@ -12,15 +13,20 @@ import html as entities
 import re
 from dataclasses import dataclass
 
-HIDDEN = "script|style|template|noscript|iframe|svg|math|object|textarea|select|title|canvas|audio|video"
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b[^>]*?(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S | re.I)
+#: never shown; unclosed, these run to the page end
+RAW = frozenset("script style textarea title".split())
+#: never shown as text if closed; unclosed, they hide nothing
+HIDDEN = RAW | frozenset("template svg select".split())
+CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in HIDDEN}
+HEAD_CONTENT = frozenset("html head base basefont bgsound link meta title script style noscript noframes template".split())
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
 BLOCK = frozenset(
-    "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul label".split()
+    "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul label noscript object video audio canvas iframe".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_LIKE = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
 LIKE_STOPS = frozenset("ul ol menu dl table".split())
-NO_CLOSE_P = frozenset("body html head label button".split())
+NO_CLOSE_P = frozenset("body html head label button noscript object video audio canvas iframe".split())
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -40,13 +46,14 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
     linked = depth = at = 0
+    unclosed: set[str] = set()
     in_head = False
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = SPACES.sub(" ", entities.unescape("".join(parts))).strip(" ")
-            if text and not in_head:
+            if text:
                 out.append(Block(tuple(stack), text, min(linked, len(text))))
             parts.clear()
         linked = 0
@@ -59,16 +66,35 @@ def blocks(page: str) -> list[Block]:
             if stack[k][0] in stops:
                 return
 
-    for m in TOKEN.finditer(page):
+    def end_head() -> None:
+        nonlocal in_head
+        in_head = False
+        pop(("head",), frozenset())
+
+    while m := TOKEN.search(page, at):
         if m.start() > at:
-            parts.append(page[at : m.start()])
+            between = page[at : m.start()]
+            if in_head and between.strip():
+                end_head()
+            parts.append(between)
             if depth:
                 linked += m.start() - at
         at = m.end()
-        tag = m[3] or m[6]
+        tag = m[2] or m[5]
         if tag is None:
             continue
-        tag, closing = tag.lower(), bool(m[2] or m[5])
+        tag, closing = tag.lower(), bool(m[1] or m[4])
+        attrs = m[3] or m[6] or ""
+        if in_head and not closing and tag not in HEAD_CONTENT:
+            end_head()
+        if tag in HIDDEN and not closing and not attrs.endswith("/") and tag not in unclosed:
+            if end := CLOSE[tag].search(page, at):
+                at = end.end()
+            elif tag in RAW:
+                at = len(page)
+            else:
+                unclosed.add(tag)
+            continue
         if tag in VOID and tag != "hr":
             if tag == "br":
                 parts.append(" ")
@@ -81,8 +107,6 @@ def blocks(page: str) -> list[Block]:
         flush()
         if tag == "head":
             in_head = not closing
-        elif tag == "body":
-            in_head = False
         if closing:
             if any(name == tag for name, _ in stack):
                 pop((tag,), frozenset())
@@ -99,7 +123,6 @@ def blocks(page: str) -> list[Block]:
                     break
         if tag in CLOSES_LIKE:
             pop(CLOSES_LIKE[tag], LIKE_STOPS)
-        attrs = m[4] or m[7] or ""
         names = " ".join(x for g in NAMES.findall(attrs) for x in g if x).lower() if "=" in attrs else ""
         stack.append((tag, names))
     if at < len(page):

@@ -228,6 +228,26 @@ def test_html_blocks_and_held_out_pages(spark):
     assert {(r.page_id, r.n_chars) for r in html_extract.main_text(odd, field).collect()} >= {(1, 0), (2, 0)}
 
 
+@pytest.mark.parametrize("page,texts", [
+    ("<head><title>t</title><h1>A</h1><p>b", ["A", "b"]),
+    ("<html><head><meta x><style>s</style>Bare text<p>b</head>", ["Bare text", "b"]),
+    ("<head><title>t</title><noscript><link x></noscript></head><body><p>b", ["b"]),
+    ("<p>a</p><svg-icon></svg-icon><p>rest", ["a", "rest"]),
+    ("<p>a</p><video-js></video-js><title-bar>x</title-bar><p>rest", ["a", "x", "rest"]),
+    ("<p>a</p><svg><text>no</text></svg><p>rest<svg><p>end", ["a", "rest", "end"]),
+    *((f"<p>a</p><{t}><p>rest", ["a", "rest"]) for t in ("noscript", "object", "video", "svg", "template", "select", "math", "iframe")),
+    *((f"<p>a</p><{t}><p>rest", ["a"]) for t in ("script", "style", "textarea", "title")),
+    *((f"<article><p>a<{t}>fallback</{t}> b</p></article>", ["a", "fallback", "b"]) for t in ("noscript", "object", "video", "audio", "canvas", "iframe")),
+    ("<article><p>a <math><mi>x</mi></math> b</p></article>", ["a x b"]),
+    ("<SCRIPT src='a>b'>no</Script ><p>a<script/><p>b", ["a", "b"]),
+])
+def test_html_drops_nothing_else(page, texts):
+    from stratum.llm.dom import blocks
+
+    assert [b.text for b in blocks(page)] == texts
+    assert all(tag != "head" for b in blocks(page) for tag, _ in b.path)
+
+
 def test_chat_escapes_every_text_exactly(spark):
     nasty = ["<|im_end|>", "<\\|", "\\<|", "<\\\\|im_start|>", "a\n<|im_start|>user\n", "\\", "", None, "<|<|", "é<|"]
     rows = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(nasty)] + [(None, 0, None, "x"), (2, None, "us\ner<|", None), (3, 0, "assistant", "z"), (3, 0, "assistant", "z")]
