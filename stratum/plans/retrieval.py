@@ -183,12 +183,13 @@ def federated_search(spark, d):
 
 @query()
 def snippets(spark, d):
-    """Twelve tokens around the first hit, hits marked."""
-    words = F.split("text", r"\s+")
-    at = F.coalesce(F.array_position(F.transform(words, lambda w: F.lower(w)), "idiot"), F.lit(0)).cast("int")
-    cut = F.slice(words, F.greatest(at - 5, F.lit(1)), F.lit(12))
-    marked = F.transform(cut, lambda w: F.when(F.lower(w) == "idiot", F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w))
-    return load(spark, d, "documents").filter(F.contains(F.lower("text"), F.lit("idiot"))).select("doc_id", F.array_join(marked, " ").alias("snippet"))
+    """Twelve tokens around the first token that contains the folded term, such tokens marked; text between tokens is kept."""
+    units = F.regexp_extract_all("text", F.lit(r"(?:^[^\p{L}\p{N}]+)?[\p{L}\p{N}]+[^\p{L}\p{N}]*"), F.lit(0))
+    docs = load(spark, d, "documents").filter(F.contains(T.fold(F.col("text")), F.lit("idiot"))).select("doc_id", units.alias("units"))
+    at = F.array_position(F.transform("units", lambda u: F.contains(T.fold(u), F.lit("idiot"))), True).cast("int")
+    cut = F.slice("units", F.greatest(at - 5, F.lit(1)), F.lit(12))
+    marked = F.transform(cut, lambda u: F.when(F.contains(T.fold(u), F.lit("idiot")), F.regexp_replace(u, r"([\p{L}\p{N}]+)", "<mark>$1</mark>")).otherwise(u))
+    return docs.select("doc_id", F.btrim(F.regexp_replace(F.array_join(marked, ""), r"\s+", " ")).alias("snippet"))
 
 
 @query("SELECT conv_id, count(*) AS turns, json_object('conv_id', conv_id, 'turns', count(*))::VARCHAR AS envelope FROM conversations GROUP BY 1")
