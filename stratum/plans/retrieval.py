@@ -100,7 +100,7 @@ def rrf_fusion(spark, d):
 
 @query(f"WITH {RRF}, g AS (SELECT f.id, source, fused, lexical_rank, row_number() OVER (PARTITION BY source ORDER BY fused DESC, lexical_rank NULLS LAST, f.id) AS k, count(*) OVER (PARTITION BY source) AS n FROM f JOIN documents ON doc_id = f.id WHERE source <> 'src0') SELECT id, source, fused, n FROM g WHERE k = 1")
 def hybrid_topk_per_group(spark, d):
-    """One representative per source over the fused pool; the excluded source goes before the cut."""
+    """One representative per source over the fused pool of 50 and 50; the excluded source goes after that cut, as in the SQL."""
     j = _fused(spark, d).join(load(spark, d, "documents").select(F.col("doc_id").alias("id"), "source"), "id").filter("source <> 'src0'")
     w = Window.partitionBy("source")
     return j.withColumn("k", F.row_number().over(w.orderBy(F.desc("fused"), F.asc_nulls_last("lexical_rank"), "id"))).withColumn("n", F.count(F.lit(1)).over(w)).filter("k = 1").select("id", "source", "fused", "n")
