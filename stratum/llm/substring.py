@@ -1,14 +1,14 @@
-"""Repeated passages: a count-min prefilter over windows, then exact grouping of the rest.
+"""Repeated passages: an exact prefilter on minimiser hashes, then exact grouping of the rest.
 
-A window is ``WINDOW`` consecutive words.  The sketch does not count windows one by one:
+A window is ``WINDOW`` consecutive words.  The prefilter does not count windows one by one:
 each window is counted under the smallest hash of its ``GRAM``-word runs, a value that
 depends on the window's words alone, so the counter of a window is never below the
 number of documents that hold it.  Few values represent many windows (about one per
-four), which is what keeps the sketch small.
+four), which is what keeps the prefilter small.
 
-*Sketch.*  A dense sketch that must be broadcast would have to grow with the corpus.
-Here partitions count into ``2 ** cell_bits`` cells and the merged sketch stays a
-partitioned table (cell, documents); cells with one document are gone after the merge.
+*Prefilter.*  There is no count-min sketch: no counters, no sketch of a partition, no
+merge.  Every document sends its distinct ``cell_bits``-bit hashes as rows (cell, doc_id);
+these are exchanged and grouped exactly, and cells with one document are dropped.
 Collisions only raise counts.
 
 *Second pass.*  Documents that hold a repeated cell hash the windows of those cells
@@ -173,7 +173,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cell
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     args = (window, gram, cell_bits)
     counted = rows.filter("doc_id is not null").mapInArrow(lambda b: _sketch(b, *args), "cell long, doc_id long").repartition("cell")
-    # merged sketch: saturates at two documents, all that the estimate is asked for
+    # exact grouping: two documents are all that the second pass asks for
     repeated = counted.groupBy("cell").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("cell")
     cells = counted.join(repeated, "cell").groupBy("doc_id").agg(F.collect_set("cell").alias("cells"))
 
