@@ -13,6 +13,7 @@ left, fewer than j items in class j, is packed best-fit decreasing.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,9 @@ GROUP = 64
 END_ID = 0
 FLUSH_PIECES = 1 << 14
 FLUSH_BYTES = 16 << 20
+LONG_RUN = 4096
+#: white space as the vocabulary's split pattern has it (the Unicode property, as in Rust's ``\\s``)
+RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 OPEN = "worker long, class int"
@@ -39,7 +43,10 @@ class Encoder:
     """Ids of the byte-level vocabulary, as the ``tokenizers`` library gives them.
 
     ``tokenizer.json`` is the authority: its vocabulary is turned into ranks for
-    tiktoken, whose compiled merge loop gives the same ids several times faster.
+    tiktoken, whose compiled merge loop gives the same ids several times faster.  The
+    split pattern backtracks once for every character of a run of white space and runs
+    out of stack on very long ones, so runs of ``LONG_RUN`` or more are cut out by a
+    scan and merged as the single piece that the pattern would make of them.
     """
 
     def __init__(self, path: str):
@@ -53,12 +60,26 @@ class Encoder:
         letters |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
         special = {t["content"]: t["id"] for t in model["added_tokens"]}
         ranks = {bytes(letters[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in special}
+        if model.get("normalizer") or model["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+            raise ValueError("only byte-level vocabularies without normaliser or prefix space are known")
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in model["added_tokens"]):
+            raise ValueError("added tokens that take neighbouring text are not known")
+        self.special = tuple(special)
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.encoding = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
+    def parts(self, text: str) -> Iterator[np.ndarray]:
+        at = 0
+        for run in RUN.finditer(text) if len(text) >= LONG_RUN else ():
+            # before a word, the last character of a run goes with the word
+            end = run.end() if run.end() == len(text) or text.startswith(self.special, run.end()) else run.end() - 1
+            yield self.encoding.encode_to_numpy(text[at : run.start()], allowed_special="all")
+            yield np.array(self.encoding._encode_single_piece(text[run.start() : end]), dtype=np.uint32)
+            at = end
+        yield self.encoding.encode_to_numpy(text[at:], allowed_special="all")
+
     def __call__(self, text: str) -> np.ndarray:
-        ids = self.encoding.encode_to_numpy(text, allowed_special="all")
-        return np.append(ids, np.uint32(END_ID)).astype("<u4")
+        return np.concatenate([*self.parts(text), [END_ID]]).astype("<u4")
 
 
 _encoders: dict[str, Encoder] = {}
@@ -169,7 +190,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     A document is its tokens, then id 0; null and empty texts are that id alone.
     ``ids`` are little-endian unsigned 32-bit values and go with their piece through
     both levels; ``ids_crc32`` is taken from them as packed.  Rows that repeat an id are
-    separate documents.  An empty table gives an empty result.
+    separate documents, and the order of ties among them is free.  A very long text is
+    encoded by one task, in time proportional to its length (times its logarithm for one
+    unbroken run), and its pieces leave that task in batches; long runs of one kind of
+    character give the ids that ``tokenizers`` gives.  An empty table gives an empty result.
     """
     schema = f"{PIECES}, {OPEN}"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
