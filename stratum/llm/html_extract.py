@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratum.llm.common import chunks
-from stratum.llm.dom import Block, blocks
+from stratum.llm.dom import Block, Element, blocks
 
 TAGS = "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd nav header footer aside form fieldset label button legend table td th tr blockquote pre figure figcaption address details summary menu dialog search".split()
 NAMES = {
@@ -44,18 +44,27 @@ PAGES, STEPS, RATE, DECAY = 500, 120, 0.5, 3e-4
 
 
 @lru_cache(maxsize=1 << 15)
-def path_features(path: tuple) -> tuple[int, ...]:
-    found = {INDEX["bias"]}
-    for tag, names in path:
-        if (k := INDEX.get(f"in:{tag}")) is not None:
-            found.add(k)
-        if names and tag not in ("html", "body"):
-            for word in {*names.split(), *SPLIT.split(names)}:
-                if word in GROUP:
-                    found.add(INDEX[f"name:{GROUP[word]}"])
-    own = f"own:{path[-1][0]}" if path else "own:none"
-    found.add(INDEX.get(own, INDEX["own:none"]))
-    return tuple(sorted(found))
+def name_features(names: str) -> frozenset[int]:
+    return frozenset(INDEX[f"name:{GROUP[word]}"] for word in {*names.split(), *SPLIT.split(names)} if word in GROUP)
+
+
+NOWHERE = (frozenset({INDEX["bias"]}), (*sorted({INDEX["bias"], INDEX["own:none"]}),))
+
+
+def path_features(element: Element | None) -> tuple[int, ...]:
+    """Features of an element's ancestors and itself; each element's are made once, from its parent's."""
+    todo, at = [], element
+    while at is not None and at.memo is None:
+        todo.append(at)
+        at = at.parent
+    found = at.memo if at is not None else NOWHERE
+    for e in reversed(todo):
+        own, inside = found[0], INDEX.get(f"in:{e.tag}")
+        more = name_features(e.names) if e.names and e.tag not in ("html", "body") else frozenset()
+        if inside is not None and inside not in own or not more <= own:
+            own = own | more | ({inside} if inside is not None else frozenset())
+        found = e.memo = (own, (*sorted(own | {INDEX.get(f"own:{e.tag}", INDEX["own:none"])}),))
+    return found[1]
 
 
 def text_features(b: Block) -> list[int]:
@@ -76,7 +85,7 @@ def text_features(b: Block) -> list[int]:
 
 
 def page_features(found: list[Block]) -> list[list[int]]:
-    return [[*path_features(b.path), *text_features(b)] for b in found]
+    return [[*path_features(b.element), *text_features(b)] for b in found]
 
 
 class ChainField:
@@ -265,8 +274,10 @@ def extract(page: str, field: ChainField) -> str:
 def main_text(pages: DataFrame, field: ChainField | None = None) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
-    Null and empty html give an empty text.  Repeated rows give equal results.  An
-    empty table gives an empty result.
+    Null and empty html give an empty text.  Repeated rows give equal results, and equal
+    scores of the two labels take the block out.  A page of any length or nesting takes
+    time in proportion to its length, in one task.  Only page_id, url and html are read;
+    an empty table gives an empty result.
     """
     field = field or train()
 
