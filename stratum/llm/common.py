@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,9 +31,11 @@ NON_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one of our own (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one of our own (one machine only)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="stratum-")
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -50,7 +53,15 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = staged_path(spark, tag)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stratum_path = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for df in tables:
+        drop_path(df.sparkSession, df._stratum_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import stage
+from stratum.llm.common import stage, unstage
 
 MAX_ROUNDS = 60
 
@@ -28,9 +28,12 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round writes its edges to the shared folder; ends when a round changes none.
     """
-    edges, before = links.select("u", "v").filter("u <> v"), None
+    edges, before, last = links.select("u", "v").filter("u <> v"), None, None
     for _ in range(MAX_ROUNDS):
         edges = stage(_small_star(_large_star(edges)), "stars")
+        if last is not None:
+            unstage(last)
+        last = edges
         now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if before == now:
             return edges
