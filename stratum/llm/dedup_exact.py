@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import SPACE
+from stratum.llm.common import SPACE, stage
 
 MEMORY_BYTES = 64 << 20
 COMBINE_BYTES = 16 << 20
@@ -172,8 +172,9 @@ def exact_dedup(docs: DataFrame, memory_bytes: int = MEMORY_BYTES, combine_bytes
     Null text counts as empty; empty texts are equal to each other.  A null doc_id is
     never the smallest unless its whole group has none (keep_id null; kept is then true
     for each such row, as ids cannot tell them apart).  Repeated rows (same id and
-    text) count in group_size and share one verdict.  An empty table gives an empty
-    result; columns other than doc_id and text are not read.
+    text) count in group_size and share one verdict.  A very long text is one record; a
+    task holds at most ``combine_bytes`` or ``memory_bytes`` besides it.  An empty table
+    gives an empty result; columns other than doc_id and text are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("content"))
     digest = F.unhex(F.sha2("content", 256))
@@ -185,9 +186,20 @@ def exact_dedup(docs: DataFrame, memory_bytes: int = MEMORY_BYTES, combine_bytes
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__kept_id"), F.lit(True).alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__kept_id"]), "left_semi")
+    """One row for each distinct text, that of the smallest id, with all columns of docs.
+
+    Rows that repeat both id and text, and rows without id, leave one row of their text
+    (any of them).
+    """
+    kept = exact_dedup(docs).filter("kept").groupBy(F.col("keep_id").alias("__keep_id"), F.unhex("text_sha256").alias("__keep_digest")).agg(F.count(F.lit(1)).alias("__times"))
+    kept = stage(kept, "kept-first")
+    rows = docs.withColumn("__digest", F.unhex(F.sha2(normalised(docs["text"]), 256)))
+    same = (F.col("__digest") == F.col("__keep_digest")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__keep_id"))
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    if kept.filter("__times > 1").isEmpty():
+        return rows.join(kept, same, "left_semi").select(columns)
+    once = rows.join(kept.filter("__times = 1"), same, "left_semi").select(columns)
+    return once.unionByName(rows.join(kept.filter("__times > 1"), same, "left_semi").dropDuplicates(["__digest"]).select(docs.columns))
 
 
 def op6_exact_dedup(spark, sf_dir):

@@ -1,8 +1,8 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 1. Each text becomes its set of distinct word shingles, ``BANDS * ROWS`` minima and a
-   digest of the set.  Texts with equal sets are one class, represented by its smallest
-   id, so copies never meet in pairs.
+   128-bit digest of its word sequence.  Texts with equal word sequences are one class,
+   represented by its smallest id, so copies never meet in pairs.
 2. Representatives that agree on a whole band share a bucket.  At similarity 0.8 a pair
    shares none of 40 bands of 5 with probability 1e-7.
 3. First round: each member is paired with one pivot (the smallest id of the bucket it
@@ -10,16 +10,24 @@
 4. Second round: whatever two members of a bucket are still in different components are
    compared; nothing that could join two components is skipped.  Buckets of at most
    ``BIG`` members give pairs.  Larger ones (merged where they share their pivot) are
-   dealt in blocks of ``BLOCK``: a task compares two blocks in memory, skips what is
-   already connected, and returns only the links that connect components.
+   dealt in blocks of about ``BLOCK`` members or ``BLOCK_SHINGLES`` shingles; a component
+   that fills blocks has blocks of its own, which are not compared with each other.  A
+   task first compares two blocks by their minima alone; texts are sent only for members
+   that may link across components, to the blocks where they may, and only links that
+   connect components are returned.
 5. Verification compares minima in batches of ``BATCH``.  With m of n equal, the
    similarity has the posterior Beta(m + 1, n - m + 1); a pair is dropped once the
    chance of 0.8 or more is below ``MISS``.  Survivors are decided exactly, on the
    words of both whole texts.
+
+Work on a bucket of M members in different components grows with the square of M, as any
+exact comparison of all its members does; rows that are exchanged grow with
+``M * M / BLOCK`` minima of two bytes each.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -28,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import Words, binary_values, chunks, gram_hashes, stage
+from stratum.llm.common import Words, binary_values, chunks, gram_hashes, stage, unstage
 from stratum.llm.common import mix as finalise
 from stratum.llm.components import components
 
@@ -40,6 +48,8 @@ BATCH = 40
 MISS = 1e-6
 BIG = 32
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 18
+VERIFY_BYTES = 1 << 20
 SIGN_BYTES = 1 << 19
 
 
@@ -79,18 +89,20 @@ def minima(values: np.ndarray, counts: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
+def sequence_digest(text: bytes) -> bytes | None:
+    """128 bits of the lower-cased word sequence; none without words."""
+    words = text.lower().split()
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
+
+
 def _sign(batches: Iterator[pa.RecordBatch], k: int, count: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, z in chunks(batch.column(1), SIGN_BYTES):
-            values, counts = shingle_sets(binary_values(batch.column(1).slice(a, z - a)), k)
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            digests = []
-            for salt in (0x51ED270B, 0xA3B1C2D7):
-                total = np.concatenate([[np.uint64(0)], np.cumsum(finalise(values ^ np.uint64(salt << 20)))])
-                digests.append((total[ends[1:]] - total[ends[:-1]]).view(np.int64))
+            texts = binary_values(batch.column(1).slice(a, z - a))
+            values, counts = shingle_sets(texts, k)
             sig = minima(values, counts, count)
-            cols = [batch.column(0).slice(a, z - a), pa.array(counts.astype(np.int64)), pa.array(digests[0]), pa.array(digests[1]), pa.array([r.tobytes() for r in sig], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "d1", "d2", "sig"])
+            cols = [batch.column(0).slice(a, z - a), pa.array(counts.astype(np.int64)), pa.array([sequence_digest(t) for t in texts], pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "digest", "sig"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
@@ -137,24 +149,53 @@ def word_shingles(text: bytes, k: int) -> set:
 
 def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep, last = [], (None, None)
-        for v, x, y in zip(batch.column(1).to_pylist(), binary_values(batch.column(2)), binary_values(batch.column(3)), strict=True):
-            if last[0] != v or last[2] != y:
-                last = (v, word_shingles(y, k), y)
-            own = word_shingles(x, k)
-            both = len(own & last[1])
-            keep.append(both > 0 and 100 * both >= percent * (len(own) + len(last[1]) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _compare_blocks(table: pa.Table, k: int, percent: int, count: int, bounds: list[tuple[int, int]]) -> pa.Table:
-    """Links between the components met in two blocks of a large bucket; at most one fewer than components."""
-    ids, roots, block = (table.column(c).to_pylist() for c in ("rep", "root", "block"))
-    n, lo, hi = len(ids), table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(n, count)
-    texts = binary_values(table.column("text").combine_chunks())
-    sets: list = [None] * n
+        for a, z in chunks(batch.column(2), VERIFY_BYTES):
+            part = batch.slice(a, z - a)
+            keep, last = [], (None, None)
+            for v, x, y in zip(part.column(1).to_pylist(), part.column(2), part.column(3), strict=True):
+                x, y = (t.as_py() or "" for t in (x, y))
+                if last[0] != (v, y):
+                    last = ((v, y), word_shingles(y.encode(), k))
+                own = word_shingles(x.encode(), k)
+                both = len(own & last[1])
+                keep.append(both > 0 and 100 * both >= percent * (len(own) + len(last[1]) - both))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _survivors(table: pa.Table, bounds: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row i of a pair of blocks, the later rows of the other block that may be linked with it, likeliest first."""
+    n, lo, hi = table.num_rows, table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint16).reshape(n, -1)
+    root, block = np.array(table.column("root").to_pylist()), np.array(table.column("block").to_pylist())
+    rows = np.arange(n)
+    for i in np.flatnonzero(block == lo).tolist():
+        other = np.flatnonzero((block == hi) & (root != root[i]) & ((rows > i) | (lo != hi)))
+        matches = np.zeros(len(other), dtype=np.int64)
+        for upto, least in bounds:
+            matches += (sig[other, upto - BATCH : upto] == sig[i, upto - BATCH : upto]).sum(axis=1)
+            other, matches = other[matches >= least], matches[matches >= least]
+        if len(other):
+            yield i, other[np.argsort(-matches, kind="stable")]
+
+
+def _may_link(table: pa.Table, bounds: list[tuple[int, int]]) -> pa.Table:
+    """Members of two blocks that may be linked across components."""
+    found: set[int] = set()
+    for i, other in _survivors(table, bounds):
+        found.add(i)
+        found.update(other.tolist())
+    return table.take(pa.array(sorted(found), pa.int64()))
+
+
+def _compare_blocks(table: pa.Table, k: int, percent: int, bounds: list[tuple[int, int]]) -> pa.Table:
+    """Links between the components met in two blocks of a large bucket; at most one fewer than components.
+
+    Hashed sets, 8 bytes a shingle, rule a pair out; a link is confirmed on the words.
+    """
+    ids, roots = table.column("rep").to_pylist(), table.column("root").to_pylist()
+    texts = table.column("text").combine_chunks()
     parent = {r: r for r in roots}
+    hashed: dict[int, np.ndarray] = {}
 
     def find(r: int) -> int:
         while parent[r] != r:
@@ -162,102 +203,157 @@ def _compare_blocks(table: pa.Table, k: int, percent: int, count: int, bounds: l
             r = parent[r]
         return r
 
-    def own(i: int) -> set:
-        if sets[i] is None:
-            sets[i] = word_shingles(texts[i], k)
-        return sets[i]
+    def raw(i: int) -> bytes:
+        return (texts[i].as_py() or "").encode()
 
-    root_of, block_of, links = np.array(roots), np.array(block), []
-    for i in range(n):
-        if block[i] != lo:
-            continue
-        other = np.flatnonzero((block_of == hi) & (root_of != root_of[i]) & ((np.arange(n) > i) | (lo != hi)))
-        matches = np.zeros(len(other), dtype=np.int64)
-        for upto, least in bounds:
-            matches += (sig[other, upto - BATCH : upto] == sig[i, upto - BATCH : upto]).sum(axis=1)
-            other, matches = other[matches >= least], matches[matches >= least]
-        for j in other[np.argsort(-matches, kind="stable")].tolist():
+    def own(i: int) -> np.ndarray:
+        if i not in hashed:
+            hashed[i] = shingle_sets([raw(i)], k)[0]
+        return hashed[i]
+
+    def alike(both: int, x: int, y: int) -> bool:
+        return both > 0 and 100 * both >= percent * (x + y - both)
+
+    links = []
+    for i, other in _survivors(table, bounds):
+        for j in other.tolist():
             a, b = find(roots[i]), find(roots[j])
-            if a == b:
+            if a == b or not alike(len(np.intersect1d(own(i), own(j), assume_unique=True)), len(own(i)), len(own(j))):
                 continue
-            both = len(own(i) & own(j))
-            if both and 100 * both >= percent * (len(own(i)) + len(own(j)) - both):
+            x, y = word_shingles(raw(i), k), word_shingles(raw(j), k)
+            if alike(len(x & y), len(x), len(y)):
                 parent[a] = b
                 links.append((ids[i], ids[j]))
     return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
 
 
+def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Minima of two bytes: equal ones stay equal, so nothing is lost."""
+    for batch in batches:
+        sig = [np.frombuffer(x, dtype=np.uint32).astype(np.uint16).tobytes() for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary())], names=["rep", "sig"])
+
+
+def _block_links(large: DataFrame, signs: DataFrame, partners: DataFrame, shingle: int, percent: int, bounds: list[tuple[int, int]]) -> DataFrame:
+    """Links (u, v) that connect components within large buckets; large: pivot, rep, root, n."""
+    def blocks(rows, shingles):
+        return F.ceil(F.greatest(rows / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+
+    groups = large.groupBy("pivot", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).withColumn("own", F.greatest(F.col("m") / BLOCK, F.col("s") / BLOCK_SHINGLES) > 1)
+    # a large component's blocks are its own (part = root); small components share blocks (part = -1)
+    groups = groups.withColumn("part", F.when(F.col("own"), F.col("root")).otherwise(F.lit(-1).cast("long")))
+    parts = stage(groups.groupBy("pivot", "part").agg(blocks(F.sum("m"), F.sum("s")).alias("blocks")), "parts")
+    named = groups.select("pivot", "root", "part").join(parts, ["pivot", "part"])
+    members = stage(large.join(named, ["pivot", "root"]).withColumn("block", F.struct("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("k"))).select("pivot", "rep", "root", "block"), "members")
+    one = parts.select("pivot", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).select("pivot", F.struct("part", "k").alias("a"))
+    pairs = one.join(one.select("pivot", F.col("a").alias("b")), "pivot").filter((F.col("a") <= F.col("b")) & ~((F.col("a.part") == F.col("b.part")) & (F.col("a.part") >= 0)))
+    at = pairs.select("pivot", F.col("a").alias("lo"), F.col("b").alias("hi"), F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    dealt = members.join(at, ["pivot", "block"]).join(signs.mapInArrow(_narrow, "rep long, sig binary"), "rep")
+    flat = ["pivot", "rep", "root", F.concat_ws("/", "block.part", "block.k").alias("block"), F.concat_ws("/", "lo.part", "lo.k").alias("lo"), F.concat_ws("/", "hi.part", "hi.k").alias("hi"), "sig"]
+    schema = "pivot long, rep long, root long, block string, lo string, hi string, sig binary"
+    open_members = stage(dealt.select(flat).groupBy("pivot", "lo", "hi").applyInArrow(lambda t: _may_link(t, bounds), schema), "may-link")
+    told = open_members.join(partners.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    links = stage(told.select("pivot", "rep", "root", "block", "lo", "hi", "sig", "text").groupBy("pivot", "lo", "hi").applyInArrow(lambda t: _compare_blocks(t, shingle, percent, bounds), "u long, v long"), "block-links")
+    unstage(parts, members, open_members)
+    return links
+
+
 def near_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Words are split at ASCII white space, A-Z lower-cased.  Fewer words than a shingle
     are one shingle; null and empty texts have none and are linked with nothing.  Rows
-    that repeat a doc_id share one component, that of the smallest class among its texts.  A null doc_id
-    has no component (null) and is kept.  An empty table gives an empty result.
+    that repeat a doc_id are one document with several texts and share one component.  A
+    null doc_id has no component (null) and is kept.  A very long text is one task's
+    work.  Columns other than doc_id and text are not read.  An empty table gives an
+    empty result.
     """
     count = bands * rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stage(texts.mapInArrow(lambda b: _sign(b, shingle, count), "doc_id long, n long, d1 long, d2 long, sig binary"), "signatures")
+    signed = stage(texts.mapInArrow(lambda b: _sign(b, shingle, count), "doc_id long, n long, digest binary, sig binary"), "signatures")
 
     sets = signed.filter("n > 0 and doc_id is not null")
-    classes = sets.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    firsts = classes.select("rep").distinct()
-    reps = sets.select(F.col("doc_id").alias("rep"), "n", "sig").join(firsts, "rep", "left_semi")
-
-    spread = reps.select("rep", "n", "sig").mapInArrow(lambda b: _bands(b, bands, rows), "key long, rep long, n long").repartition("key")
-    shared = spread.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).filter("pivot < top").select("key", "pivot")
+    classes = stage(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).filter("rep < top").select("digest", "rep"), "classes")
+    classed = sets.select("doc_id", "n", "digest").join(classes, "digest", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    every = stage(classed.unionByName(signed.filter("n = 0 or doc_id is null").select("doc_id", "n", F.lit(None).cast("long").alias("rep"))), "members")
+    members = every.filter("rep is not null")
+    copies = members.filter("rep < doc_id").select(F.col("doc_id").alias("rep")).distinct()
+    # an id none of whose texts is a class of its own has no signature to compare
+    own = members.filter("rep = doc_id").select("rep").distinct()
+    reps = stage(sets.select(F.col("doc_id").alias("rep"), "n", "sig", "digest").join(copies, "rep", "left_anti").select("rep", "n", "sig").unionByName(_mixed(sets, classes, copies.join(own, "rep", "left_semi"))), "representatives")
+    unstage(signed)
+
+    spread = stage(reps.select("rep", "n", "sig").mapInArrow(lambda b: _bands(b, bands, rows), "key long, rep long, n long"), "bands")
+    shared = stage(spread.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).filter("pivot < top").select("key", "pivot"), "shared")
     buckets = stage(spread.join(shared, "key"), "buckets")
+    unstage(spread, shared)
 
-    partners = stage(docs_of(texts, buckets.select(F.col("rep").alias("doc_id")).distinct()), "partners")
-    signs = reps.select("rep", "sig").join(buckets.select("rep").distinct(), "rep", "left_semi")
+    partners = stage(texts.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "partners")
+    signs = reps.select("rep", "sig")
     bounds = [(n, least_matches(n, percent / 100, miss)) for n in range(BATCH, count + 1, BATCH)]
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Pairs (u, v) that pass both verifications."""
         both = pairs.join(signs.select(F.col("rep").alias("u"), F.col("sig").alias("su")), "u").join(signs.select(F.col("rep").alias("v"), F.col("sig").alias("sv")), "v").select("u", "v", "su", "sv")
-        left = both.mapInArrow(lambda b: _prune(b, count, BATCH, bounds), "u long, v long")
+        left = stage(both.mapInArrow(lambda b: _prune(b, count, BATCH, bounds), "u long, v long"), "likely")
         both = left.join(partners.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").join(partners.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v").select("u", "v", "tu", "tv")
-        return both.mapInArrow(lambda b: _verify(b, shingle, percent), "u long, v long")
+        found = stage(both.mapInArrow(lambda b: _verify(b, shingle, percent), "u long, v long"), "links")
+        unstage(left)
+        return found
 
     hits = buckets.filter("rep <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("hits"))
     stars = hits.groupBy("rep").agg(F.min(F.struct((-F.col("hits")).alias("h"), "pivot")).alias("best")).select(F.col("rep").alias("u"), F.col("best.pivot").alias("v"))
-    roots = components(linked(stars))
-
-    named = buckets.select("key", "rep", "n").join(roots.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    open_keys = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
+    # texts of one id belong together
+    same = members.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("top")).filter("v < top").select("doc_id", "v")
+    same = members.join(same, "doc_id").filter("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
+    links = stage(linked(stars).unionByName(same), "links")
+    roots = components(links)
+
+    named = stage(buckets.select("key", "rep", "n").join(roots.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root")), "named")
+    open_keys = stage(named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("m"), F.min("rep").alias("pivot")).filter("a < b").select("key", "m", "pivot"), "open-keys")
     rest = stage(named.join(open_keys, "key"), "open-buckets")
-    sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("pivot"))
-    small = rest.join(sizes.filter(F.col("m") <= BIG).select("key"), "key")
+    unstage(named, buckets)
+    small = rest.filter(F.col("m") <= BIG)
     one, two = (small.select("key", F.col("rep").alias(a), F.col("n").alias(f"n{a}"), F.col("root").alias(f"r{a}")) for a in "uv")
     near = (F.col("ru") < F.col("rv")) & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
     across = linked(one.join(two, "key").filter(near).select("u", "v").distinct())
 
-    large = rest.join(sizes.filter(F.col("m") > BIG).select("key", "pivot"), "key").select("pivot", "rep", "root").distinct()
-    blocks = large.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = large.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(signs, "rep").join(partners.select(F.col("doc_id").alias("rep"), "text"), "rep")
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("pivot", "rep", "root", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "sig", "text")
-    inside = dealt.groupBy("pivot", "lo", "hi").applyInArrow(lambda t: _compare_blocks(t, shingle, percent, count, bounds), "u long, v long")
-    across = stage(across.unionByName(inside), "links")
+    large = stage(rest.filter(F.col("m") > BIG).groupBy("pivot", "rep", "root").agg(F.max("n").alias("n")), "large")
+    if not large.isEmpty():
+        across = across.unionByName(_block_links(large, signs, partners, shingle, percent, bounds))
     if not across.isEmpty():
         roots = components(roots.select("u", "v").unionByName(across.select("u", "v")))
+    unstage(reps, partners, rest, open_keys, large, links, classes)
 
-    # an id's class is the smallest of its classes, and so its component is that of all its texts
-    members = sets.join(classes, ["d1", "d2", "n"]).select("doc_id", "rep").groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    found = members.join(roots.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select(F.col("doc_id").alias("m_id"), F.coalesce("root", "rep").alias("root"))
-    out = signed.select("doc_id", "n").join(found, F.col("doc_id") == F.col("m_id"), "left")
-    component = F.when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named = members.groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    found = named.join(roots.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select(F.col("doc_id").alias("m_id"), F.coalesce("root", "rep").alias("root"))
+    known, lone = every.filter("doc_id is not null"), every.filter("doc_id is null")
+    out = known.join(found, F.col("doc_id") == F.col("m_id"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.unionByName(lone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
-def docs_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    return texts.join(ids, "doc_id", "left_semi")
+def _mixed(sets: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """Signatures of repeated ids that are a copy in one text and a class of their own in another."""
+    rows = sets.select(F.col("doc_id").alias("rep"), "n", "sig", "digest").join(ids, "rep", "left_semi")
+    return rows.join(classes.select("digest", F.col("rep").alias("first")), "digest", "left").filter(F.coalesce("first", "rep") == F.col("rep")).select("rep", "n", "sig")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay, one document of each component, with all their columns."""
-    kept = near_components(docs, **options).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__kept_id"]), "left_semi")
+    """One row of each component, that of its smallest id, with all columns of docs.
+
+    Rows without id stay.  Of rows that repeat the smallest id, the one with the smallest
+    hash of its text stays.
+    """
+    kept = near_components(docs, **options).filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count(F.lit(1)).alias("__times"))
+    kept = stage(kept, "kept-one")
+    same = docs["doc_id"].cast("long") == F.col("__kept_id")
+    lone = docs.filter(docs["doc_id"].isNull())
+    if kept.filter("__times > 1").isEmpty():
+        return docs.join(kept, same, "left_semi").unionByName(lone)
+    many = docs.join(kept.filter("__times > 1"), same, "left_semi").select(docs["doc_id"].cast("long").alias("id"), F.xxhash64("text").alias("h"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    many = many.groupBy("id").agg(F.min_by("row", "h").alias("row")).select("row.*")
+    return docs.join(kept.filter("__times = 1"), same, "left_semi").unionByName(many).unionByName(lone)
 
 
 def op1_near_dedup(spark, sf_dir):
