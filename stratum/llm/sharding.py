@@ -41,9 +41,11 @@ def _slots(h: np.ndarray, d: np.ndarray, probes: list[tuple[int, int]]) -> np.nd
     """Number of probes at or below each key (h, d); probes are sorted."""
     ph = np.array([p[0] for p in probes], dtype=np.int64)
     low, high = np.searchsorted(ph, h, "left"), np.searchsorted(ph, h, "right")
-    for i in np.flatnonzero(low != high):
-        own = [p[1] for p in probes[low[i] : high[i]]]
-        low[i] += np.searchsorted(np.array(own, dtype=np.int64), d[i], "right")
+    shared = np.flatnonzero(low != high)
+    for a in np.unique(low[shared]).tolist():  # probes of one hash: by id
+        rows = shared[low[shared] == a]
+        own = np.array([p[1] for p in probes[a : high[rows[0]]]], dtype=np.int64)
+        low[rows] = a + np.searchsorted(own, d[rows], "right")
     return low
 
 
@@ -133,17 +135,30 @@ def placed(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE,
     """Whole rows of docs after the exchange, with shard and slot.
 
     The histogram runs on staged keys; the exchange moves the rows themselves.  Within a
-    shard, slots are numbered in sub-ranges of about ``sub_rows`` rows or ``sub_bytes``
-    bytes at most, so no task sorts a whole shard.
+    shard, slots are numbered in sub-ranges of at most ``sub_rows`` rows and ``sub_bytes``
+    bytes, so no task sorts a whole shard, nor a whole group of equal texts.
     """
     h, d, size = _key_columns(docs)
     keys = stage(docs.select(h.alias("h"), d.alias("d"), (size + overhead).alias("size")), "shard-keys")
     bounds, _ = splitters(keys, shards, tolerance)
     n, total = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    # sub-ranges for numbering: hash quantiles are even, as hashes are, except for single groups
-    parts = max(1, -(-n // sub_rows), -(-total // sub_bytes)) * 4
-    cuts = sorted({*bounds, *((-SIGN + (k << 64) // parts, -SIGN) for k in range(1, parts))}) if n else []
-    counted = _count(keys, cuts) if n else []
+    # sub-ranges for numbering: even ranges of the hash, found by a shift, cut again at shards
+    # and wherever a range holds too much (a large group of equal texts is cut by id)
+    power = max(0, (4 * max(1, -(-n // sub_rows), -(-total // sub_bytes)) - 1).bit_length())
+    even = [(-SIGN + (k << (64 - power)), -SIGN) for k in range(1, 1 << power)]
+    fine: set[tuple[int, int]] = {*bounds} - {*even}
+    counted = _count(keys, [*even, *fine]) if n else []
+    for _ in range(MAX_ROUNDS):
+        full = [x for x in counted if (x[2] > sub_rows or x[1] > sub_bytes) and x[3] != x[4]]
+        if not full:
+            break
+        for _slot, size_, rows_, low, high in full:
+            a, z = _key(*low), _key(*high)
+            step = max(1, (z - a) // (2 * max(-(-rows_ // sub_rows), -(-size_ // sub_bytes))))
+            fine |= {((p >> 64) - SIGN, (p & ((1 << 64) - 1)) - SIGN) for p in [*range(a + step, z, step), z]}
+        fine -= {*even}
+        counted = _count(keys, [*even, *fine])
+    cuts = sorted([*even, *fine])
     starts, of_shard = [0] * (len(cuts) + 1), [0] * (len(cuts) + 1)
     current = in_shard = 0
     for slot, _size, rows, _low, _high in counted:
@@ -156,10 +171,11 @@ def placed(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE,
     def longs(values):
         return F.lit(values).cast("array<long>")
 
-    sub = F.lit(0)
-    if cuts:
-        edges = F.arrays_zip(longs([c[0] for c in cuts]).alias("h"), longs([c[1] for c in cuts]).alias("d"))
-        sub = F.size(F.filter(edges, lambda c: (c["h"] < F.col("h")) | ((c["h"] == F.col("h")) & (c["d"] <= F.col("d")))))
+    sub = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-SIGN)), 64 - power).cast("int") if power else F.lit(0)
+    if fine:
+        listed = sorted(fine)
+        edges = F.arrays_zip(longs([c[0] for c in listed]).alias("h"), longs([c[1] for c in listed]).alias("d"))
+        sub = sub + F.size(F.filter(edges, lambda c: (c["h"] < F.col("h")) | ((c["h"] == F.col("h")) & (c["d"] <= F.col("d")))))
     rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), h.alias("h"), d.alias("d")).withColumn("sub", sub)
     rows = rows.withColumn("shard", F.element_at(longs(of_shard), F.col("sub") + 1).cast("int"))
     rank = F.row_number().over(Window.partitionBy("sub").orderBy("h", "d"))
@@ -178,8 +194,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, o
 
     Size is the text's UTF-8 bytes (null: none) plus ``overhead``.  Slots are gapless
     from 0 in the order (text hash, doc_id); a null doc_id sorts first in its group.
-    Rows that repeat an id are rows of their own and stay neighbours.  An empty table
-    gives an empty result; fewer rows than shards leave shards empty.
+    Rows that repeat an id are rows of their own and stay neighbours; rows equal in id and
+    text are interchangeable, and all such rows of one id and text are numbered by one
+    task.  A very long text is one row, whole in one shard.  Extra columns travel along.
+    An empty table gives an empty result; fewer rows than shards leave shards empty.
     """
     rows = write_shards(docs, staged_path(docs.sparkSession, "shards"), shards, tolerance=tolerance, overhead=overhead, sub_rows=sub_rows)
     _, _, size = _key_columns(rows)
