@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
 CHUNK_BYTES = 2 << 20
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 LONG_WORD = 64
 
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -49,10 +50,21 @@ def staged_path(spark: SparkSession, tag: str) -> str:
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Shuffle files of the write are removed with it, instead of whenever the driver next
+    collects its garbage.
+    """
     spark = df.sparkSession
-    path = staged_path(spark, tag)
-    df.write.mode("overwrite").parquet(path)
+    path, before = staged_path(spark, tag), spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stratum_path = path
     return out
