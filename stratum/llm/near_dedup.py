@@ -243,7 +243,7 @@ def _block_links(large: DataFrame, signs: DataFrame, partners: DataFrame, shingl
     # a large component's blocks are its own (part = root); small components share blocks (part = -1)
     groups = groups.withColumn("part", F.when(F.col("own"), F.col("root")).otherwise(F.lit(-1).cast("long")))
     parts = stage(groups.groupBy("pivot", "part").agg(blocks(F.sum("m"), F.sum("s")).alias("blocks")), "parts")
-    named = groups.select("pivot", "root", "part").join(parts, ["pivot", "part"])
+    named = stage(groups.select("pivot", "root", "part").join(parts, ["pivot", "part"]), "named-parts")
     members = stage(large.join(named, ["pivot", "root"]).withColumn("block", F.struct("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("k"))).select("pivot", "rep", "root", "block"), "members")
     one = parts.select("pivot", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).select("pivot", F.struct("part", "k").alias("a"))
     pairs = one.join(one.select("pivot", F.col("a").alias("b")), "pivot").filter((F.col("a") <= F.col("b")) & ~((F.col("a.part") == F.col("b.part")) & (F.col("a.part") >= 0)))
@@ -254,7 +254,7 @@ def _block_links(large: DataFrame, signs: DataFrame, partners: DataFrame, shingl
     open_members = stage(dealt.select(flat).groupBy("pivot", "lo", "hi").applyInArrow(lambda t: _may_link(t, bounds), schema), "may-link")
     told = open_members.join(partners.select(F.col("doc_id").alias("rep"), "text"), "rep")
     links = stage(told.select("pivot", "rep", "root", "block", "lo", "hi", "sig", "text").groupBy("pivot", "lo", "hi").applyInArrow(lambda t: _compare_blocks(t, shingle, percent, bounds), "u long, v long"), "block-links")
-    unstage(parts, members, open_members)
+    unstage(parts, named, members, open_members)
     return links
 
 

@@ -291,6 +291,208 @@ def test_odd_rows_have_their_defined_results(odd):
     assert texts[8] == "end" and texts[6] == "same text here"
 
 
+def test_encoder_takes_very_long_runs():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, known = packing.encoder(path), Tokenizer.from_file(path)
+    runs = [" " * 300_000, " " * 5000 + "a", "a" + "\t" * 5000, "\u3000" * 5000 + "<|endoftext|>" + " " * 4999 + " y", "\n" * 4096 + "'s", " \n" * 3000 + "9", "abcdefgh" * 20_000, ("word, " * 40 + " " * 4097) * 5]
+    for text in runs:
+        assert encode(text).tolist() == [*known.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_scanner_is_linear_and_keeps_text():
+    from time import perf_counter
+
+    from stratum.llm.dom import blocks
+
+    began = perf_counter()
+    assert blocks("<a " * 300_000)[0].text.startswith("<a <a")
+    assert len(blocks("<div>a" * 50_000)) == 50_000 and len(blocks("<ul><li>x" * 20_000)) == 20_000
+    assert blocks("<x '" * 300_000 + ">") == [] and blocks("<svg>" + "</svg " * 100_000)[0].text.startswith("</svg")
+    assert blocks("<p>" + "<label>" * 30_000 + "<div>" * 30_000 + "end")[0].text == "end"
+    assert perf_counter() - began < 20
+
+
+def test_pages_odd_rows(spark):
+    schema = "page_id long, url string, html string, text string, n_chars long"
+    long = "<article>" + "".join(f"<p>Sentence number {k}, with some words in it.</p>" for k in range(20_000)) + "</article>"
+    rows = [(1, "u", long, None, None), (1, "u", long, None, None), (None, None, None, "x", 1), (2, "u", "", None, None)]
+    got = html_extract.main_text(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 4 and sorted(r.n_chars for r in got)[:2] == [0, 0]
+    assert all(r.text.count("\n") == 19_999 for r in got if r.page_id == 1)
+    assert html_extract.main_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_real_pages_give_their_text_in_page_order(spark):
+    from stratum.llm.dom import blocks
+
+    for r in html_extract.main_text(spark.read.parquet(f"{SF}/pages.parquet")).collect():
+        html = spark_pages()[r.page_id]
+        lines, all_lines = r.text.split("\n"), [b.text for b in blocks(html)]
+        at = iter(all_lines)
+        assert r.text == "" or all(line in at for line in lines)  # a subsequence of the page's blocks
+        assert r.text != "" and r.n_chars == len(r.text)
+
+
+def spark_pages():
+    t = ds.dataset(f"{SF}/pages.parquet").to_table().to_pydict()
+    return dict(zip(t["page_id"], t["html"], strict=True))
+
+
+def test_sketch_never_holds_back_a_repeated_cell():
+    r = np.random.default_rng(3)
+    parts = [np.unique(r.integers(-(1 << 63), 1 << 62, 500)) for _ in range(4)]
+    shared = r.integers(-(1 << 63), 1 << 62, 50)
+    parts[0], parts[3] = np.concatenate([parts[0], shared]), np.concatenate([parts[3], shared])
+    positions = np.sort(r.integers(0, 1 << 20, 3000).astype(np.uint64))
+    assert (substring.decode(substring.encode(positions)) == positions.astype(np.int64)).all()
+    for bits, most in ((4, 1.0), (20, 0.01)):
+        rows = [x for p in parts for x in substring.partition_sketch(p, bits, 4)]
+        batch = substring.pa.RecordBatch.from_arrays([substring.pa.array([k for k, _ in rows], substring.pa.int32()), substring.pa.array([b for _, b in rows], substring.pa.binary())], names=["slice", "blob"])
+        merged = [(k, b) for out in substring._merge(iter([batch]), 4) for k, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+        repeated = substring.Repeated(merged, bits, 4)
+        assert repeated(shared).all() and repeated(parts[1]).mean() <= most
+
+
+def test_any_sketch_gives_the_same_removals(docs):
+    want = sorted(map(tuple, substring.remove_repeats(docs).collect()))
+    assert sorted(map(tuple, substring.remove_repeats(docs, sketch_bits=3).collect())) == want
+
+
+REPEATED = [(5, LONG), (5, LONG + " x"), (None, LONG), (None, "a b"), (None, None), (7, LONG), (9, "z " + LONG), (9, "q"), (9, "q")]
+
+
+def test_repeated_and_null_ids_keep_their_rows(spark):
+    df = spark.createDataFrame([(*r, "s") for r in REPEATED], "doc_id long, text string, source string").repartition(2)
+    cut = substring.remove_repeats(df, with_text=True).collect()
+    assert len(cut) == len(REPEATED) and all(len(r.kept_text.split()) == r.n_words - r.n_removed for r in cut)
+    assert sorted(r.kept_text for r in cut if r.doc_id == 9) == ["q", "q", "z"] and [r.n_removed for r in cut if r.doc_id == 7] == [30_000]
+    plan = mixing.mix(df).collect()
+    assert len(plan) == len(REPEATED) and sum(r.taken for r in plan) == sum(len((r.text or "").split()) for r in mixing.mixed(df).collect())
+    near = near_dedup.keep_one(df, shingle=2).collect()
+    assert sorted(r.doc_id or 0 for r in near) == [0, 0, 0, 5]  # 9 is one document, and one of its texts is like 5
+    first = dedup_exact.keep_first(df).collect()
+    assert len(first) == 7 and len({r.text for r in first}) == 7
+
+
+def test_one_large_group_is_numbered_in_ranges(spark):
+    rows = [(k, "") for k in range(400)] + [(None, ""), (None, "")] + [(k, f"text {k}") for k in range(400, 450)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sharding.shard(df, 4, sub_rows=20).collect()
+    assert len(got) == len(rows) and all(r.text_crc32 == zlib.crc32(dict(rows)[r.doc_id].encode()) for r in got)
+    for k in range(4):
+        own = sorted(r.slot for r in got if r.shard == k)
+        assert own == list(range(len(own)))
+    sizes = [sum(r.size for r in got if r.shard == k) for k in range(4)]
+    assert max(sizes) - min(sizes) <= 2 * max(r.size for r in got)
+
+
+def test_shards_keep_groups_of_equal_texts(docs, texts):
+    rows = sharding.shard(docs, 8, sub_rows=20).collect()
+    homes = collections.defaultdict(set)
+    for r in rows:
+        assert r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) and r.size == len((texts[r.doc_id] or "").encode()) + 16
+        homes[texts[r.doc_id]].add(r.shard)
+    assert all(len(x) == 1 for x in homes.values())
+
+
+def test_mix_agrees_with_brute_force(docs, texts):
+    rows = mixing.mix(docs).collect()
+    sources = sorted({r.source for r in rows}, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
+    size = {s: sum(r.size for r in rows if r.source == s) for s in sources}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    target, left, budget = {}, set(sources), 1.5 * sum(size.values())
+    while left:  # reshare until no target is above its cap
+        unit = (budget - sum(target.values())) / sum(weight[s] for s in left)
+        full = {s for s in left if unit * weight[s] > 2 * size[s]}
+        if not full:
+            target |= {s: unit * weight[s] for s in left}
+            break
+        target |= {s: 2.0 * size[s] for s in full}
+        left -= full
+    for r in rows:
+        assert r.size == len(WORD.findall(texts[r.doc_id] or "")) and r.source_size == size[r.source] and abs(r.target - target[r.source]) < 1e-6 * max(1, r.target)
+        whole = int(r.target // r.source_size)
+        assert r.epochs in (whole, whole + 1)
+
+
+def test_toxicity_agrees_with_a_plain_model(spark, docs, labels, texts):
+    """FTRL-proximal once more, on dictionaries and in the same order of rows."""
+    gold = {r.doc_id: r.toxic for r in labels.collect()}
+    rows = sorted((d, gold[d]) for d in texts if d in gold and zlib.crc32(str(d).encode()) % 5)
+
+    def own(t):
+        return set(toxicity.features([(t or "").encode()])[0].tolist())
+
+    z, n, bias, bias_n = collections.Counter(), collections.Counter(), 0.0, 0.0
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= toxicity.L1 else -(z[k] - np.sign(z[k]) * toxicity.L1) / ((toxicity.BETA + n[k] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    def chance(f):
+        return 1 / (1 + np.exp(-min(30, max(-30, sum(map(weight, f)) + bias))))
+
+    order = np.random.default_rng(5)
+    for _ in range(toxicity.EPOCHS):
+        for i in order.permutation(len(rows)):
+            f = own(texts[rows[i][0]])
+            w, g = {k: weight(k) for k in f}, chance(f) - rows[i][1]
+            for k in f:
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / toxicity.ALPHA * w[k]
+                n[k] += g * g
+            bias_n += g * g
+            bias -= toxicity.BIAS_RATE * g / (bias_n + 1e-12) ** 0.5
+    for r in toxicity.toxicity(docs, labels).collect():
+        assert abs(r.score - chance(own(texts[r.doc_id]))) < 1e-6 and r.predicted == (r.score >= 0.5)
+
+
+def test_forest_verdicts_agree_with_a_plain_walk(docs, labels, texts):
+    forest, thresholds = quality.fit(docs, labels)
+    for r in quality.quality(docs, labels).collect():
+        base, x = quality.statistics([(texts[r.doc_id] or "").encode()])
+        x = (r.n_words * x[0] + quality.PRIOR_WORDS * forest.center) / (r.n_words + quality.PRIOR_WORDS)
+        total = 0.0
+        for feature, split, left, right, path in forest.nodes:
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] if x[feature[at]] < split[at] else right[at]
+            total += path[at]
+        score = 2 ** (-total / len(forest.nodes) / forest.norm)
+        band = sum(r.n_words >= b for b in quality.BANDS)
+        assert abs(score - r.score) < 1e-9 and r.kept == (not r.base_failed and r.score <= thresholds[band])
+
+
+def test_near_stage_finds_what_brute_force_finds(spark, docs, texts):
+    import corpus_pipeline
+
+    kept = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, SF).collect()}
+    want = brute_components(texts, 2)
+    assert kept == set(want.values())
+
+
+def test_pipeline_runs_to_packed_sequences(spark):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, SF).collect()
+    used = collections.defaultdict(int)
+    for r in rows:
+        assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
+        used[r.sequence_id] += r.length
+    assert rows and max(used.values()) <= 1024 and sum(used.values()) > 0.95 * 1024 * len(used)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from stratum.llm import common
+
+    sc = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        common.shared_dir(SimpleNamespace(sparkContext=sc))
+
+
 @pytest.mark.parametrize("stage", [0, 1, 2, 3])
 def test_stages_keep_the_columns(spark, odd, none, stage):
     import corpus_pipeline
