@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 FOLD_FROM = "àáâäãåçèéêëìíîïñòóôöõùúûüýÿ"
 FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
-LANGUAGES = {"html": "markup", "php": "php", "ts": "typescript", "js": "javascript", "py": "python", "go": "go"}
 
 
 def fold(text: Column) -> Column:
@@ -27,7 +26,11 @@ def split_identifier(name: Column) -> Column:
 
 
 def is_test_path(path: Column) -> Column:
-    return path.rlike(r"(^|/)(tests?|__tests__|spec)(/|$)") | path.rlike(r"(?i)\.(test|spec)\.[a-z]+$") | path.rlike(r"[a-z](Test|Spec)\.[a-z]+$")
+    """A folder named test, tests or __tests__, a .test. or .spec. infix, or a name that ends in Test.php or TestCase.php."""
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    name = F.substring_index(p, "/", -1)
+    folder = F.exists(F.split(p, "/"), lambda x: x.isin("test", "tests", "__tests__"))
+    return folder | F.lower(name).contains(".test.") | F.lower(name).contains(".spec.") | name.endswith("Test.php") | name.endswith("TestCase.php")
 
 
 def module_of(path: Column) -> Column:
@@ -35,10 +38,6 @@ def module_of(path: Column) -> Column:
     return F.regexp_extract(path, r"^(?:[a-z]+://)?[^/]+/([^/?#]+)", 1)
 
 
-def typed_id(kind: str, *parts: Column) -> Column:
-    return F.concat_ws(":", F.lit(kind), *parts)
-
-
 def first_match(text: Column, rules: list[tuple[str, str]], otherwise: str) -> Column:
     """Label of the first pattern that matches, else a refusal label."""
     out = None

@@ -54,28 +54,56 @@ def weighted_jaccard(deps: DataFrame) -> DataFrame:
 
 
 def clusters(deps: DataFrame, floor: float = 0.15) -> DataFrame:
-    """Agglomerative merging by average similarity above floor; ties go to the first pair in name order.
+    """module, cluster (its member of highest degree), size, coupling_score; every module once.
 
-    The module graph is one row per module pair, small by nature; it is one group here.
+    Agglomerative merging: the most similar two clusters, by weighted Jaccard of their
+    summed neighbour weights, are merged while the similarity reaches floor; ties go to
+    the first pair in the order in which modules are first seen in the sorted
+    dependencies.  Each merge depends on the one before, so this part is sequential.  The
+    dependencies are one row per pair of modules, and are one group here.
     """
     import pandas as pd
 
-    pairs = weighted_jaccard(deps).withColumn("one", F.lit(1))
-
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        sim = {(a, b): s for a, b, s in zip(pdf.module_a, pdf.module_b, pdf.similarity, strict=True)}
-        groups = [[m] for m in sorted({*pdf.module_a, *pdf.module_b})]
-
-        def between(x: list, y: list) -> float:
-            return sum(sim.get((min(a, b), max(a, b)), 0.0) for a in x for b in y) / (len(x) * len(y))
-
-        while len(groups) > 1:
-            best = max(((between(x, y), -i, -j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j))
-            if best[0] <= floor:
+        weight: dict[str, dict[str, int]] = {}
+        for a, b, n in sorted(zip(pdf.source_module, pdf.target_module, pdf.reference_count, strict=True)):
+            for x, y in ((a, b), (b, a)):
+                weight.setdefault(x, {})
+                weight[x][y] = weight[x].get(y, 0) + int(n)
+        members = {m: [m] for m in weight}
+        around = {m: dict(weight[m]) for m in weight}  # neighbour weights of each cluster
+
+        def similarity(x: str, y: str) -> float:
+            p, q = around[x], around[y]
+            low = sum(min(w, q[k]) for k, w in p.items() if k in q)
+            high = sum(p.values()) + sum(q.values()) - low
+            return low / high if high else 0.0
+
+        order = list(members)
+        known = {(x, y): similarity(x, y) for i, x in enumerate(order) for y in order[i + 1 :]}
+        while known:
+            best = max(known.values())
+            if best < floor:
                 break
-            i, j = -best[1], -best[2]
-            groups[i] = sorted(groups[i] + groups[j])
-            del groups[j]
-        return pd.DataFrame([(m, g[0], len(g)) for g in groups for m in g], columns=["module", "cluster", "size"])
-
-    return pairs.groupBy("one").applyInPandas(merge, "module string, cluster string, size long")
+            a, b = next(pair for pair in known if known[pair] == best)
+            members[a] += members.pop(b)
+            merged = around.pop(b)
+            for k, w in merged.items():
+                around[a][k] = around[a].get(k, 0) + w
+            around[a] = {k: w for k, w in around[a].items() if k not in members[a]}
+            known = {pair: s if a not in pair else similarity(*pair) for pair, s in known.items() if b not in pair}
+        rows = []
+        for group in members.values():
+            group = sorted(group)
+            hub = min(group, key=lambda m: (-sum(weight[m].values()), m))
+            score = sum(weight[x].get(y, 0) for x in group for y in group if x < y)
+            rows += [(m, hub, len(group), score) for m in group]
+        return pd.DataFrame(rows, columns=["module", "cluster", "size", "coupling_score"])
+
+    pairs = deps.select("source_module", "target_module", "reference_count").withColumn("one", F.lit(1))
+    return pairs.groupBy("one").applyInPandas(merge, "module string, cluster string, size long, coupling_score long")
+
+
+def dependencies_only(refs: DataFrame) -> DataFrame:
+    """source_module, target_module, reference_count: a plain count, without samples."""
+    return refs.groupBy("source_module", "target_module").agg(F.count(F.lit(1)).alias("reference_count"))

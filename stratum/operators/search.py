@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,42 +16,201 @@ class InvalidQuery(ValueError):
     """The query has no term; a refusal, not an empty answer."""
 
 
-def bm25(rows: DataFrame, key: str, columns: dict[str, float], query: list[str], every_term: bool, scope: str | None = None) -> DataFrame:
-    """key, rank (more negative is better).
+class Leaf:
+    """A word, a prefix (word*) or a phrase; ``column`` restricts it."""
+
+    def __init__(self, words: list[str], prefix: bool = False, column: str | None = None):
+        self.words, self.prefix, self.column = words, prefix, column
 
-    Only query terms are ever exploded: each row keeps its weighted term counts as an
-    array of query length, so the corpus is read once and shuffled as counters only.
+
+def parse(query: str, columns: list[str]) -> tuple[tuple, list[Leaf]]:
+    """Syntax tree and leaves of ``a b``, ``a OR b``, ``a NOT b``, ``(..)``, ``"a phrase"``, ``pre*``, ``col: ..``.
+
+    Neighbours are joined by AND; NOT binds closest, then AND, then OR.  Raises InvalidQuery.
     """
-    terms = sorted({t for q in query for t in fold_words(q)})
-    if not terms:
+    marks = re.findall(r'"[^"]*"\*?|[()]|[^\s()":]+\s*:|[^\s()":]+|"|:', query)
+    leaves: list[Leaf] = []
+    at = 0
+
+    def peek() -> str | None:
+        return marks[at] if at < len(marks) else None
+
+    def leaf(text: str, column: str | None) -> tuple:
+        prefix = text.endswith("*")
+        words = fold_words(text)
+        if not words or text in ('"', ":"):
+            raise InvalidQuery(f"no searchable term at {text!r}")
+        leaves.append(Leaf(words, prefix, column))
+        return ("leaf", len(leaves) - 1)
+
+    def one(column: str | None) -> tuple:
+        nonlocal at
+        mark = peek()
+        if mark is None or mark in (")", "AND", "OR", "NOT"):
+            raise InvalidQuery(f"a term is missing before {mark!r}")
+        at += 1
+        if mark == "(":
+            inside = either(column)
+            if peek() != ")":
+                raise InvalidQuery("unbalanced parentheses")
+            at += 1
+            return inside
+        if mark.endswith(":") and mark != ":":
+            name = mark[:-1].strip()
+            if name not in columns:
+                raise InvalidQuery(f"no column {name!r}")
+            return one(name)
+        return leaf(mark, column)
+
+    def without(column: str | None) -> tuple:
+        nonlocal at
+        left = one(column)
+        while peek() == "NOT":
+            at += 1
+            left = ("not", left, one(column))
+        return left
+
+    def both(column: str | None) -> tuple:
+        nonlocal at
+        left = without(column)
+        while peek() not in (None, ")", "OR"):
+            at += peek() == "AND"
+            left = ("and", left, without(column))
+        return left
+
+    def either(column: str | None) -> tuple:
+        nonlocal at
+        left = both(column)
+        while peek() == "OR":
+            at += 1
+            left = ("or", left, both(column))
+        return left
+
+    if not marks:
         raise InvalidQuery("no searchable term")
+    tree = either(None)
+    if peek() is not None:
+        raise InvalidQuery("unbalanced parentheses")
+    return tree, leaves
+
+
+def index(rows: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Postings (term, key, col, positions, d), laid out by term, and one row of statistics (N, avg_d)."""
     listed = {c: tokens(fold(F.col(c))) for c in columns}
-    sized = rows.select(F.col(key).alias("key"), *[t.alias(f"t_{c}") for c, t in listed.items()])
-    length = sum((F.size(f"t_{c}") for c in columns), F.lit(0))
-    used = [scope] if scope else list(columns)
+    sized = rows.select(F.col(key).alias("key"), *[t.alias(f"t_{c}") for c, t in listed.items()]).withColumn("d", sum((F.size(f"t_{c}") for c in columns), F.lit(0)))
+    stats = sized.agg(F.count(F.lit(1)).alias("N"), F.avg("d").alias("avg_d"))
+
+    def entry(c: str):
+        return lambda x, i: F.struct(x.alias("term"), F.lit(c).alias("col"), i.alias("pos"))
+
+    entries = F.concat(*[F.transform(f"t_{c}", entry(c)) for c in columns])
+    per = sized.select("key", "d", F.explode(entries).alias("e")).groupBy(F.col("e.term").alias("term"), "key", F.col("e.col").alias("col"), "d")
+    return per.agg(F.sort_array(F.collect_list("e.pos")).alias("positions")).repartition("term").sortWithinPartitions("term", "key"), stats
+
+
+def search(postings: DataFrame, stats: DataFrame, columns: dict[str, float], query: str) -> DataFrame:
+    """key, rank of the rows that match the query; reads the postings of its terms only.
+
+    Each leaf scores as one unit, by its weighted number of occurrences.
+    """
+    tree, leaves = parse(query, list(columns))
+    return _score(postings, stats, columns, tree, leaves)
+
+
+def _score(postings: DataFrame, stats: DataFrame, columns: dict[str, float], tree: tuple, leaves: list[Leaf]) -> DataFrame:
+    exact = sorted({w for x in leaves for w in (x.words[:-1] if x.prefix else x.words)})
+    starts = sorted({x.words[-1] for x in leaves if x.prefix})
+    wanted = F.col("term").isin(exact)
+    for w in starts:
+        wanted = wanted | F.col("term").startswith(w)
+    hit = postings.filter(wanted)
+
+    def places(word: str, prefix: bool):
+        match = F.col("term").startswith(word) if prefix else F.col("term") == word
+        return F.flatten(F.collect_list(F.when(match, F.col("positions"))))
+
+    asked = sorted({(w, x.prefix and k == len(x.words) - 1) for x in leaves for k, w in enumerate(x.words)})
+    per = hit.groupBy("key", "col").agg(F.first("d").alias("d"), *[places(*a).alias(f"p{k}") for k, a in enumerate(asked)])
+
+    def occurrences(x: Leaf):
+        cols = [f"p{asked.index((w, x.prefix and k == len(x.words) - 1))}" for k, w in enumerate(x.words)]
+        if len(cols) == 1:
+            return F.size(cols[0])
+
+        def goes_on(p):
+            found = F.array_contains(cols[1], p + 1)
+            for k, c in enumerate(cols[2:], 2):
+                found = found & F.array_contains(c, p + k)
+            return found
 
-    def weight(term: str):
-        return sum((F.lit(float(columns[c])) * F.size(F.filter(f"t_{c}", lambda x: x == F.lit(term))) for c in used), F.lit(0.0))
+        return F.size(F.filter(cols[0], goes_on))
 
-    counted = sized.select("key", length.alias("d"), *[weight(t).alias(f"f{i}") for i, t in enumerate(terms)])
-    stats = counted.agg(F.count(F.lit(1)).alias("N"), F.avg("d").alias("avg_d"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(terms))])
-    hit = [F.col(f"f{i}") > 0 for i in range(len(terms))]
-    keep = hit[0]
-    for h in hit[1:]:
-        keep = (keep & h) if every_term else (keep | h)
-    joined = counted.filter(keep).crossJoin(F.broadcast(stats))  # stats is one row
+    weight = F.element_at(F.create_map(*[F.lit(v) for c, w in columns.items() for v in (c, float(w))]), F.col("col"))
+    counts = [F.sum(F.when(F.lit(x.column is None) | (F.col("col") == (x.column or "")), weight * occurrences(x)).otherwise(0.0)).alias(f"f{k}") for k, x in enumerate(leaves)]
+    found = per.groupBy("key").agg(F.first("d").alias("d"), *counts)
+    df = found.agg(*[F.sum((F.col(f"f{k}") > 0).cast("long")).alias(f"n{k}") for k in range(len(leaves))])
+
+    def holds(t: tuple):
+        if t[0] == "leaf":
+            return F.col(f"f{t[1]}") > 0
+        a, b = holds(t[1]), holds(t[2])
+        return a & b if t[0] == "and" else a | b if t[0] == "or" else a & ~b
+
+    joined = found.filter(holds(tree)).crossJoin(F.broadcast(df)).crossJoin(F.broadcast(stats))  # one row each
 
     def part(i: int):
         idf = F.greatest(F.log((F.col("N") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)), F.lit(FLOOR))
         f = F.col(f"f{i}")
         return F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("d") / F.col("avg_d")))).otherwise(0.0)
 
-    return joined.select("key", F.round(-sum((part(i) for i in range(1, len(terms))), part(0)), 9).alias("rank"))
+    return joined.select("key", F.round(-sum((part(i) for i in range(1, len(leaves))), part(0)), 9).alias("rank"))
 
 
-def fold_words(q: str) -> list[str]:
-    import re
+def words_query(query: list[str], every_term: bool, scope: str | None = None) -> tuple[tuple, list[Leaf]]:
+    """Bare words, all or any of them, sorted and without repeats."""
+    terms = sorted({t for q in query for t in fold_words(q)})
+    if not terms:
+        raise InvalidQuery("no searchable term")
+    leaves = [Leaf([t], column=scope) for t in terms]
+    tree: tuple = ("leaf", 0)
+    for k in range(1, len(terms)):
+        tree = ("and" if every_term else "or", tree, ("leaf", k))
+    return tree, leaves
+
+
+def bm25_on(postings: DataFrame, stats: DataFrame, columns: dict[str, float], query: list[str], every_term: bool, scope: str | None = None) -> DataFrame:
+    return _score(postings, stats, columns, *words_query(query, every_term, scope))
+
+
+def bm25(rows: DataFrame, key: str, columns: dict[str, float], query: list[str], every_term: bool, scope: str | None = None) -> DataFrame:
+    """key, rank (more negative is better), without a stored index: every row is tokenised for this query."""
+    asked = words_query(query, every_term, scope)
+    return _score(*index(rows, key, list(columns)), columns, *asked)
+
+
+#: function words: one of them must not be the only match of a question
+STOPWORDS = frozenset(
+    "would with will why whose who while which when what were was up to those this these then them their the that than so per over or on of its it is into in if how have has had from for does do did could cannot can by but been be at as are and an a".split()
+)
+MOST_TERMS = 64
+
+
+def anchor_terms(query: str) -> list[str]:
+    """Distinct words of a question without function words (with them if nothing else is left), 64 at most."""
+    words = fold_words(query)
+    if not words:
+        raise InvalidQuery("no searchable term")
+    content = [w for w in words if w not in STOPWORDS] or words
+    return list(dict.fromkeys(content))[:MOST_TERMS]
+
+
+def interleave(results: DataFrame, source: str, *order) -> DataFrame:
+    """Ranked lists of several sources dealt in turn: all firsts by source, then all seconds, and so on."""
+    own = results.withColumn("round", F.row_number().over(Window.partitionBy(source).orderBy(*order)))
+    return own.withColumn("turn", F.row_number().over(Window.orderBy("round", source)))
 
+
+def fold_words(q: str) -> list[str]:
     from stratum.functions.text import FOLD_FROM, FOLD_TO
 
     return re.findall(r"[^\W_]+", q.lower().translate(str.maketrans(FOLD_FROM, FOLD_TO)))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratum.operators import graph
-from stratum.sources.tables import EDGES_SQL, edges
+from stratum.sources.tables import EDGES_SQL, EVIDENCE_SQL, NODES_SQL, edges, evidence, incoming, load, nodes
 
 Q: dict = {}
 SQL: dict = {}
@@ -31,7 +32,7 @@ def trace_outgoing(spark, d):
 
 
 def trace_incoming(spark, d):
-    return graph.traverse(edges(spark, d), _starts(spark, ["supplier:1"]), 2, "incoming")
+    return graph.traverse(incoming(spark, d), _starts(spark, ["supplier:1"]), 2, "incoming")
 
 
 def trace_both(spark, d):
@@ -52,7 +53,7 @@ def trace_termini(spark, d):
 
 
 def impact_walk(spark, d):
-    return graph.impact(edges(spark, d), _starts(spark, ["supplier:1"]), 2)
+    return graph.impact(incoming(spark, d), _starts(spark, ["supplier:1"]), 2)
 
 
 def heuristic_filter(spark, d):
@@ -79,9 +80,15 @@ def _repo_edges(spark, d):
 
 
 def federated_trace(spark, d):
-    """Union of the repositories' edges, one row per (src, dst, type) with its repositories, then one walk."""
-    e = _repo_edges(spark, d).groupBy("src", "dst", "edge_type").agg(F.min("id").alias("id"), F.min("confidence_class").alias("confidence_class"), F.collect_set("repo").alias("repos"))
-    return graph.traverse(e, _starts(spark, ["order:10", "order:11"]), 2)
+    """One walk over the edges of all repositories, each with the repositories that hold it.
+
+    An edge is one however many repositories hold it; part and supplier ids are the same
+    everywhere and so join the repositories.
+    """
+    e = _repo_edges(spark, d).groupBy("src", "dst", "edge_type").agg(F.min("id").alias("id"), F.min("confidence_class").alias("confidence_class"), F.array_sort(F.collect_set("repo")).alias("repos"))
+    seen = graph.traverse(e, _starts(spark, ["order:10", "order:11"]), 2)
+    into = seen.join(e.select(F.col("dst").alias("node"), F.explode("repos").alias("repo")), "node", "left")
+    return into.groupBy("node", "depth").agg(F.array_join(F.array_sort(F.collect_set(F.col("repo").cast("string"))), ",").alias("repos"))
 
 
 def glue_projection(spark, d):
@@ -122,6 +129,155 @@ def feature_path_packet(spark, d):
     return j.select("part", F.coalesce("consumers", F.lit(0)).alias("consumers"), F.coalesce("providers", F.lit(0)).alias("providers"), "first_consumer", failures.alias("failures"))
 
 
+def _frontier(spark, d, start: str, budget, direction: str = "outgoing", dispatch: tuple = ()):
+    e = incoming(spark, d) if direction == "incoming" else edges(spark, d)
+    return graph.budgeted_walk(e, nodes(spark, d), start, budget, direction, dispatch)
+
+
+def trace_edges(spark, d):
+    """Edges that a walk emits, within its budget."""
+    _, emitted = _frontier(spark, d, "order:3", graph.Budget(depth=3, nodes=100_000, fanout=1_000))
+    return spark.createDataFrame([(x["id"], x["traversed"]) for x in emitted], "id string, traversed string")
+
+
+def trace_budget(spark, d):
+    """A walk that its node budget and fan-out stop; nodes with the reason at which each ended."""
+    found, _ = _frontier(spark, d, "supplier:1", graph.Budget(depth=3, nodes=120, fanout=20), "incoming")
+    return spark.createDataFrame([(x["id"], x["depth"], x["terminus"]) for x in found], "id string, depth int, terminus string")
+
+
+def trace_origin(spark, d):
+    """No node of another origin is entered."""
+    found, _ = _frontier(spark, d, "order:7", graph.Budget(depth=3, nodes=100_000, fanout=1_000, external=False))
+    return spark.createDataFrame([(x["id"], x["depth"]) for x in found], "id string, depth int")
+
+
+def impact_surfaces(spark, d):
+    """Entry surfaces (customers) that a changed part reaches backwards: hops and weakest class of the best path."""
+    e = incoming(spark, d)
+    reached = graph.impact(e.filter("edge_type in ('contains', 'supplied_by')"), _starts(spark, ["part:1", "part:2"]), 2)
+    placed = edges(spark, d).filter("edge_type = 'placed_by'").select(F.col("src").alias("node"), F.col("dst").alias("surface"))
+    return reached.join(placed, "node").groupBy("surface").agg(F.min(F.col("depth") + 1).alias("hops"), F.max("weakest").alias("weakest"))
+
+
+def node_lookup(spark, d):
+    """Nodes by id, by file and by type in one scan each; all are pushed to the stored table."""
+    n = nodes(spark, d)
+    by_id = n.filter(F.col("id").isin("order:1", "supplier:5")).withColumn("by", F.lit("id"))
+    by_file = n.filter("file_path = 'parts/7/part.tbl'").withColumn("by", F.lit("file"))
+    by_type = n.filter("node_type = 'region' and origin = 'local'").withColumn("by", F.lit("type"))
+    return by_id.unionByName(by_file).unionByName(by_type).select("by", "id", "node_type", "label", "file_path", "origin")
+
+
+def node_counts(spark, d):
+    return nodes(spark, d).groupBy("node_type", "origin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def edges_of_node(spark, d):
+    """Edges at either end of a node, strongest first, at most 200."""
+    out = edges(spark, d).filter("src = 'part:1'").withColumn("end", F.lit("source"))
+    into = incoming(spark, d).filter("dst = 'part:1'").withColumn("end", F.lit("target"))
+    return out.unionByName(into).orderBy(F.desc("confidence"), "id").limit(200).select("id", "end", "confidence")
+
+
+def bounded_incoming(spark, d):
+    """For each supplier its five strongest incoming edges of the allowed classes."""
+    e = incoming(spark, d).filter((F.col("edge_type") == "supplied_by") & (graph.class_rank() >= 2))
+    k = F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("confidence"), "id"))
+    return e.withColumn("k", k).filter("k <= 5").select("dst", "id", "k")
+
+
+def edge_evidence(spark, d):
+    """Edges with their evidence, by resolver."""
+    return evidence(spark, d).groupBy("edge_id", "resolver").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first_line"))
+
+
+def edges_with_evidence(spark, d):
+    """Edges of each class, how many have evidence, and how many have evidence of two resolvers."""
+    per = evidence(spark, d).groupBy("edge_id").agg(F.countDistinct("resolver").alias("resolvers"))
+    e = edges(spark, d).select("id", "edge_type", "confidence_class").join(per, F.col("id") == F.col("edge_id"), "left")
+    return e.groupBy("edge_type", "confidence_class").agg(F.count(F.lit(1)).alias("edges"), F.count("resolvers").alias("with_evidence"), F.count(F.when(F.col("resolvers") >= 2, 1)).alias("corroborated"))
+
+
+def replace_evidence(spark, d):
+    """Evidence of one resolver is replaced for the edges of a set; other evidence stays."""
+    ev = evidence(spark, d)
+    touched = edges(spark, d).filter("edge_type = 'contains' and confidence < 0.95").select(F.col("id").alias("edge_id"))
+    stay = ev.join(touched.withColumn("resolver", F.lit("ast")), ["edge_id", "resolver"], "left_anti").select("edge_id", "resolver", "evidence_kind", "line")
+    new = touched.select("edge_id", F.lit("ast").alias("resolver"), F.lit("call").alias("evidence_kind"), F.lit(0).alias("line"))
+    return stay.unionByName(new).groupBy("edge_id", "resolver", "evidence_kind", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+def trust_summary(spark, d):
+    """Lowest and highest class of each node's outgoing edges, and whether they differ."""
+    r = graph.class_rank()
+    return edges(spark, d).groupBy("src").agg(F.min(r).alias("least"), F.max(r).alias("most"), (F.min(r) != F.max(r)).alias("mixed"))
+
+
+def path_weight(spark, d):
+    """Weight of the two-hop paths order -> part -> supplier by their weakest class, one row per supplier."""
+    e = edges(spark, d)
+    tier = F.element_at(F.array(F.lit(0.25), F.lit(0.6), F.lit(1.0)), F.col("r"))
+    a = e.filter("edge_type = 'contains'").groupBy(F.col("dst").alias("part"), graph.class_rank().alias("ra")).agg(F.count(F.lit(1)).alias("n"))
+    b = e.filter("edge_type = 'supplied_by'").select(F.col("src").alias("part"), F.col("dst").alias("supplier"), graph.class_rank().alias("rb"))
+    paths = a.join(b, "part").select("supplier", F.least("ra", "rb").alias("r"), "n")
+    return paths.groupBy("supplier").agg(F.sum("n").alias("paths"), F.round(F.sum(tier * F.col("n")), 6).alias("weight"))
+
+
+def cross_module_edges_added(spark, d):
+    """Edges of the head that the base lacks (source, target, type) and that join two modules (nations)."""
+    e = edges(spark, d).filter("edge_type = 'supplied_by'")
+    base, head = e.filter("confidence < 0.97"), e.filter("confidence >= 0.93")
+    new = head.join(base.select("src", "dst", "edge_type"), ["src", "dst", "edge_type"], "left_anti")
+    home = edges(spark, d).filter("edge_type = 'located_in'").select(F.col("src").alias("dst"), F.col("dst").alias("module"))
+    brand = load(spark, d, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("src"), F.col("p_brand").alias("brand"))
+    return new.join(home, "dst").join(brand, "src").groupBy("brand", "module").agg(F.count(F.lit(1)).alias("added"))
+
+
+def dependents_rollup(spark, d):
+    """Of each part: its direct dependents (orders), the customers behind them, and whether it is a hub."""
+    e = edges(spark, d)
+    uses = e.filter("edge_type = 'contains'").select(F.col("src").alias("order"), F.col("dst").alias("part"))
+    behind = uses.join(e.filter("edge_type = 'placed_by'").select(F.col("src").alias("order"), F.col("dst").alias("customer")), "order")
+    per = behind.groupBy("part").agg(F.countDistinct("order").alias("orders"), F.countDistinct("customer").alias("customers"))
+    return per.select("part", "orders", "customers", (F.col("orders") > 40).alias("hub"))
+
+
+def family_summaries(spark, d):
+    """Boundary families (relations of region pairs): relationships, total weight, regions."""
+    b = boundary_aggregates(spark, d).select(F.col("relation").alias("family"), "weight", "source_region", "target_region")
+    per = b.groupBy("family").agg(F.count(F.lit(1)).alias("relationships"), F.round(F.sum("weight"), 4).alias("total_weight"))
+    regions = b.select("family", F.explode(F.array("source_region", "target_region")).alias("region")).groupBy("family").agg(F.countDistinct("region").alias("region_count"))
+    return per.join(regions, "family")
+
+
+def shared_ids_to_files(spark, d):
+    """Labels that nodes of several files carry, with how many files and nodes."""
+    return nodes(spark, d).groupBy("label").agg(F.countDistinct("file_path").alias("files"), F.count(F.lit(1)).alias("nodes")).filter("files > 1")
+
+
+def bridge_nodes(spark, d):
+    """Nodes that edges of both repositories touch: where a federated walk may cross."""
+    e = _repo_edges(spark, d)
+    ends = e.select(F.col("src").alias("node"), "repo").unionByName(e.select(F.col("dst").alias("node"), "repo"))
+    return ends.groupBy("node").agg(F.countDistinct("repo").alias("repos")).filter("repos > 1").select("node")
+
+
+def one_hop_downstream(spark, d):
+    """At most three downstream neighbours of each order of one customer, strongest first."""
+    mine = incoming(spark, d).filter("dst = 'customer:1' and edge_type = 'placed_by'").select(F.col("src").alias("at"))
+    out = edges(spark, d).filter("edge_type = 'contains'").join(mine, F.col("src") == F.col("at"))
+    k = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("confidence"), "id"))
+    return out.withColumn("k", k).filter("k <= 3").select("at", "dst", "k")
+
+
+def handlers_of_boundaries(spark, d):
+    """Boundaries (suppliers) with the parts that handle them, and the weakest class; suppliers without one stay."""
+    n = nodes(spark, d).filter("node_type = 'supplier'").select("id", "origin")
+    h = edges(spark, d).filter("edge_type = 'supplied_by'").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("handlers"), F.min(graph.class_rank()).alias("weakest"))
+    return n.join(h, "id", "left").select("id", "origin", F.coalesce("handlers", F.lit(0)).alias("handlers"), "weakest")
+
+
 PATHS_SQL = f"""WITH {EDGES_SQL}, g AS (SELECT lc.dst AS source_region, ls.dst AS target_region, count(*) AS paths FROM edges p JOIN edges c ON c.src = p.src AND c.edge_type = 'contains' JOIN edges s ON s.src = c.dst AND s.edge_type = 'supplied_by'
 JOIN edges lc ON lc.src = p.dst AND lc.edge_type = 'located_in' JOIN edges ls ON ls.src = s.dst AND ls.edge_type = 'located_in' WHERE p.edge_type = 'placed_by' GROUP BY 1, 2)"""
 RANK_SQL = "CASE confidence_class WHEN 'exact' THEN 3 WHEN 'inferred' THEN 2 ELSE 1 END"
@@ -136,11 +292,12 @@ for f, sql in [
     (impact_walk, f"""WITH {EDGES_SQL}, s AS (SELECT dst AS f, src AS t, {RANK_SQL} AS r FROM edges), a AS (SELECT t AS node, max(r) AS w FROM s WHERE f = 'supplier:1' AND t <> 'supplier:1' GROUP BY 1),
 b AS (SELECT t AS node, max(least(a.w, r)) AS w FROM s JOIN a ON s.f = a.node WHERE t <> 'supplier:1' AND t NOT IN (SELECT node FROM a) GROUP BY 1)
 SELECT 'supplier:1' AS node, 0 AS depth, 3 AS weakest UNION ALL SELECT node, 1, w FROM a UNION ALL SELECT node, 2, w FROM b"""),
-    (heuristic_filter, f"WITH {EDGES_SQL} SELECT id, confidence_class FROM edges e WHERE confidence_class <> 'heuristic' OR EXISTS (SELECT 1 FROM edges o WHERE o.src = e.src AND o.dst = e.dst AND o.confidence_class <> 'heuristic')"),
+    (heuristic_filter, f"WITH {EDGES_SQL}, firm AS (SELECT DISTINCT src, dst FROM edges WHERE confidence_class <> 'heuristic') SELECT e.id, e.confidence_class FROM edges e LEFT JOIN firm f ON f.src = e.src AND f.dst = e.dst WHERE e.confidence_class <> 'heuristic' OR f.src IS NOT NULL"),
     (edge_type_counts, f"WITH {EDGES_SQL} SELECT edge_type, confidence_class, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM edges GROUP BY 1, 2"),
     (worst_class_by_source, f"WITH {EDGES_SQL} SELECT src, min({RANK_SQL}) AS worst FROM edges GROUP BY 1"),
     (operational_neighborhood, walk_sql(f"SELECT * FROM ({OUT} UNION ALL {IN}) WHERE {RANK_SQL} >= 2", ["part:1"], 2)),
-    (federated_trace, walk_sql("SELECT src AS from_id, dst AS to_id FROM edges WHERE edge_type IN ('contains', 'supplied_by')", ["order:10", "order:11"], 2)),
+    (federated_trace, walk_sql("SELECT src AS from_id, dst AS to_id FROM edges WHERE edge_type IN ('contains', 'supplied_by')", ["order:10", "order:11"], 2).replace("SELECT node, CAST(min(depth)", ", seen AS (SELECT node, CAST(min(depth)") + """), r AS (SELECT DISTINCT dst, CASE WHEN edge_type = 'contains' THEN CAST(split_part(src, ':', 2) AS BIGINT) % 2 ELSE 0 END AS repo FROM edges WHERE edge_type IN ('contains', 'supplied_by'))
+SELECT node, depth, coalesce(string_agg(r.repo::VARCHAR, ',' ORDER BY r.repo::VARCHAR), '') AS repos FROM seen LEFT JOIN r ON r.dst = seen.node GROUP BY 1, 2"""),
     (glue_projection, f"{PATHS_SQL} SELECT source_region, target_region, paths FROM g"),
     (boundary_aggregates, f"""{PATHS_SQL}, w AS (SELECT *, round(0.65 * paths / (paths + 10), 6) AS weight FROM g WHERE source_region <> target_region),
 x AS (SELECT a.source_region, a.target_region, a.paths, a.weight, coalesce(abs(a.weight - b.weight) <= 0.25, false) AS reciprocal FROM w a LEFT JOIN w b ON a.source_region = b.target_region AND a.target_region = b.source_region)
@@ -150,6 +307,40 @@ SELECT region, CAST(sum(o) AS BIGINT) AS outgoing, CAST(sum(i) AS BIGINT) AS inc
     (feature_path_packet, f"""WITH {EDGES_SQL}, u AS (SELECT dst AS part, count(*) AS consumers, min(src) AS first_consumer FROM edges WHERE edge_type = 'contains' GROUP BY 1), p AS (SELECT src AS part, count(*) AS providers, min({RANK_SQL}) AS weakest FROM edges WHERE edge_type = 'supplied_by' GROUP BY 1)
 SELECT coalesce(u.part, p.part) AS part, coalesce(consumers, 0) AS consumers, coalesce(providers, 0) AS providers, first_consumer,
 concat_ws(',', CASE WHEN consumers IS NULL THEN 'no-consumer' END, CASE WHEN providers IS NULL THEN 'no-provider' END, CASE WHEN weakest < 2 THEN 'weak-provider' END) AS failures FROM u FULL JOIN p ON u.part = p.part"""),
+    (trace_edges, f"""WITH RECURSIVE {EDGES_SQL}, walk AS (SELECT 'order:3' AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 3)
+SELECT DISTINCT e.id, 'forward' AS traversed FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 3"""),
+    (trace_origin, f"""WITH RECURSIVE {EDGES_SQL}, {NODES_SQL}, walk AS (SELECT 'order:7' AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node JOIN nodes n ON n.id = e.dst AND n.origin = 'local' WHERE w.depth < 3)
+SELECT node AS id, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY 1"""),
+    (impact_surfaces, f"""WITH {EDGES_SQL}, p AS (SELECT src, dst, {RANK_SQL} AS r FROM edges WHERE edge_type = 'contains' AND dst IN ('part:1', 'part:2')), o AS (SELECT src, max(r) AS w FROM p GROUP BY 1)
+SELECT e.dst AS surface, CAST(2 AS INTEGER) AS hops, CAST(max(w) AS INTEGER) AS weakest FROM o JOIN edges e ON e.src = o.src AND e.edge_type = 'placed_by' GROUP BY 1"""),
+    (node_lookup, f"""WITH {NODES_SQL} SELECT 'id' AS by, * FROM nodes WHERE id IN ('order:1', 'supplier:5') UNION ALL SELECT 'file', * FROM nodes WHERE file_path = 'parts/7/part.tbl' UNION ALL SELECT 'type', * FROM nodes WHERE node_type = 'region' AND origin = 'local'"""),
+    (node_counts, f"WITH {NODES_SQL} SELECT node_type, origin, count(*) AS n FROM nodes GROUP BY 1, 2"),
+    (edges_of_node, f"""WITH {EDGES_SQL} SELECT id, "end", confidence FROM (SELECT id, 'source' AS "end", confidence FROM edges WHERE src = 'part:1' UNION ALL SELECT id, 'target', confidence FROM edges WHERE dst = 'part:1') ORDER BY confidence DESC, id LIMIT 200"""),
+    (bounded_incoming, f"""WITH {EDGES_SQL} SELECT * FROM (SELECT dst, id, CAST(row_number() OVER (PARTITION BY dst ORDER BY confidence DESC, id) AS INTEGER) AS k FROM edges WHERE edge_type = 'supplied_by' AND {RANK_SQL} >= 2) WHERE k <= 5"""),
+    (edge_evidence, f"WITH {EVIDENCE_SQL} SELECT edge_id, resolver, count(*) AS n, min(line) AS first_line FROM evidence GROUP BY 1, 2"),
+    (edges_with_evidence, f"""WITH {EDGES_SQL}, {EVIDENCE_SQL}, p AS (SELECT edge_id, count(DISTINCT resolver) AS r FROM evidence GROUP BY 1)
+SELECT edge_type, confidence_class, count(*) AS edges, count(r) AS with_evidence, count(*) FILTER (r >= 2) AS corroborated FROM edges LEFT JOIN p ON edge_id = id GROUP BY 1, 2"""),
+    (replace_evidence, f"""WITH {EDGES_SQL}, {EVIDENCE_SQL}, t AS (SELECT id FROM edges WHERE edge_type = 'contains' AND confidence < 0.95),
+x AS (SELECT edge_id, resolver, evidence_kind, line FROM evidence LEFT JOIN t ON t.id = edge_id AND resolver = 'ast' WHERE t.id IS NULL UNION ALL SELECT id, 'ast', 'call', 0 FROM t)
+SELECT edge_id, resolver, evidence_kind, line, count(*) AS n FROM x GROUP BY 1, 2, 3, 4"""),
+    (trust_summary, f"WITH {EDGES_SQL} SELECT src, min({RANK_SQL}) AS least, max({RANK_SQL}) AS most, min({RANK_SQL}) <> max({RANK_SQL}) AS mixed FROM edges GROUP BY 1"),
+    (path_weight, f"""WITH {EDGES_SQL}, p AS (SELECT b.dst AS supplier, least({RANK_SQL.replace('confidence_class', 'a.confidence_class')}, {RANK_SQL.replace('confidence_class', 'b.confidence_class')}) AS r FROM edges a JOIN edges b ON a.dst = b.src WHERE a.edge_type = 'contains' AND b.edge_type = 'supplied_by')
+SELECT supplier, count(*) AS paths, round(sum(CASE r WHEN 3 THEN 1.0 WHEN 2 THEN 0.6 ELSE 0.25 END)::DOUBLE, 6) AS weight FROM p GROUP BY 1"""),
+    (cross_module_edges_added, f"""WITH {EDGES_SQL}, e AS (SELECT * FROM edges WHERE edge_type = 'supplied_by'), n AS (SELECT * FROM e WHERE confidence >= 0.93 AND NOT confidence < 0.97)
+SELECT p_brand AS brand, h.dst AS module, count(*) AS added FROM n JOIN edges h ON h.src = n.dst AND h.edge_type = 'located_in' JOIN part ON n.src = 'part:' || p_partkey GROUP BY 1, 2"""),
+    (dependents_rollup, f"""WITH {EDGES_SQL} SELECT u.dst AS part, count(DISTINCT u.src) AS orders, count(DISTINCT p.dst) AS customers, count(DISTINCT u.src) > 40 AS hub FROM edges u JOIN edges p ON p.src = u.src AND p.edge_type = 'placed_by' WHERE u.edge_type = 'contains' GROUP BY 1"""),
+    (shared_ids_to_files, f"WITH {NODES_SQL} SELECT label, count(DISTINCT file_path) AS files, count(*) AS nodes FROM nodes GROUP BY 1 HAVING count(DISTINCT file_path) > 1"),
+    (bridge_nodes, f"""WITH {EDGES_SQL}, r AS (SELECT src, dst, CASE WHEN edge_type = 'contains' THEN CAST(split_part(src, ':', 2) AS BIGINT) % 2 ELSE 0 END AS repo FROM edges WHERE edge_type IN ('contains', 'supplied_by'))
+SELECT node FROM (SELECT src AS node, repo FROM r UNION ALL SELECT dst, repo FROM r) GROUP BY 1 HAVING count(DISTINCT repo) > 1"""),
+    (one_hop_downstream, f"""WITH {EDGES_SQL} SELECT "at", dst, k FROM (SELECT o.src AS "at", o.dst, CAST(row_number() OVER (PARTITION BY o.src ORDER BY o.confidence DESC, o.id) AS INTEGER) AS k FROM edges o JOIN edges m ON m.src = o.src AND m.edge_type = 'placed_by' AND m.dst = 'customer:1' WHERE o.edge_type = 'contains') WHERE k <= 3"""),
+    (handlers_of_boundaries, f"""WITH {EDGES_SQL}, {NODES_SQL}, h AS (SELECT dst, count(*) AS handlers, min({RANK_SQL}) AS weakest FROM edges WHERE edge_type = 'supplied_by' GROUP BY 1)
+SELECT id, origin, coalesce(handlers, 0) AS handlers, weakest FROM nodes LEFT JOIN h ON h.dst = id WHERE node_type = 'supplier'"""),
+    (family_summaries, None),
+    (trace_budget, None),
 ]:
     Q[f.__name__] = f
-    SQL[f.__name__] = sql
+    if sql:
+        SQL[f.__name__] = sql
+
+SQL["family_summaries"] = SQL["boundary_aggregates"].replace("SELECT *, CASE WHEN reciprocal", ", y AS (SELECT *, CASE WHEN reciprocal").replace("AS relation FROM x", "AS relation FROM x)") + """, z AS (SELECT relation, source_region AS region FROM y UNION SELECT relation, target_region FROM y)
+SELECT relation AS family, count(*) AS relationships, round(sum(weight), 4) AS total_weight, (SELECT count(*) FROM z WHERE z.relation = y.relation) AS region_count FROM y GROUP BY 1"""

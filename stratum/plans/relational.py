@@ -26,6 +26,10 @@ def _deps(spark, d):
     return modules.dependencies(references(spark, d))
 
 
+def _counts(spark, d):
+    return modules.dependencies_only(references(spark, d))
+
+
 @query(f"WITH {REFERENCES_SQL} SELECT source_module, target_module, reference_count, array_to_string(files, ',') AS sample_files FROM deps")
 def module_dependencies(spark, d):
     return _deps(spark, d).withColumn("sample_files", F.array_join("sample_files", ","))
@@ -33,12 +37,12 @@ def module_dependencies(spark, d):
 
 @query(f"WITH {REFERENCES_SQL} SELECT target_module AS module, count(*) AS dependents, CAST(sum(reference_count) AS BIGINT) AS total_references FROM deps GROUP BY 1")
 def blast_radius(spark, d):
-    return modules.blast_radius(_deps(spark, d))
+    return modules.blast_radius(_counts(spark, d))
 
 
 @query(f"WITH {REFERENCES_SQL} SELECT * FROM (SELECT source_module, target_module, reference_count, CAST(row_number() OVER (PARTITION BY source_module ORDER BY reference_count DESC, target_module) AS INTEGER) AS rank FROM deps) WHERE rank <= 5")
 def module_graph_top5(spark, d):
-    return modules.top_targets(_deps(spark, d))
+    return modules.top_targets(_counts(spark, d))
 
 
 @query(f"WITH {REFERENCES_SQL} SELECT source_module AS module FROM deps UNION SELECT target_module FROM deps")
@@ -49,7 +53,7 @@ def distinct_modules(spark, d):
 
 @query(f"WITH {REFERENCES_SQL} SELECT module, CAST(sum(c) AS BIGINT) AS coupling FROM (SELECT source_module AS module, reference_count AS c FROM deps UNION ALL SELECT target_module, reference_count FROM deps) GROUP BY 1")
 def module_coupling(spark, d):
-    return modules.coupling(_deps(spark, d))
+    return modules.coupling(_counts(spark, d))
 
 
 @query(f"""WITH {REFERENCES_SQL}, w AS (SELECT a, b, sum(c) AS w FROM (SELECT source_module AS a, target_module AS b, reference_count AS c FROM deps UNION ALL SELECT target_module, source_module, reference_count FROM deps) GROUP BY 1, 2),
@@ -58,12 +62,12 @@ g AS (SELECT p.a AS p, q.a AS q, sum(least(coalesce(x.w, 0), coalesce(y.w, 0)))
  FROM m p JOIN m q ON p.a < q.a CROSS JOIN n LEFT JOIN w x ON x.a = p.a AND x.b = n.b LEFT JOIN w y ON y.a = q.a AND y.b = n.b GROUP BY 1, 2)
 SELECT p AS module_a, q AS module_b, round(lo / hi, 6) AS similarity FROM g WHERE lo > 0""")
 def weighted_jaccard_pairs(spark, d):
-    return modules.weighted_jaccard(_deps(spark, d))
+    return modules.weighted_jaccard(_counts(spark, d))
 
 
 @query()
 def module_clusters(spark, d):
-    return modules.clusters(_deps(spark, d))
+    return modules.clusters(_counts(spark, d))
 
 
 def _halves(spark, d):

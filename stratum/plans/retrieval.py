@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions import text as T
 from stratum.operators import search
+from stratum.sources.stored import stored
 from stratum.sources.tables import load
 
 Q: dict = {}
@@ -27,16 +28,55 @@ def toks(col: str) -> str:
     return f"regexp_extract_all(translate(lower(coalesce({col}, '')), '{T.FOLD_FROM}', '{T.FOLD_TO}'), '[\\p{{L}}\\p{{N}}]+')"
 
 
-def bm25_sql(table: str, key: str, columns: dict[str, float], terms: list[str], every: bool, scope: str | None = None) -> str:
-    used = [scope] if scope else list(columns)
+def rank_sql(table: str, key: str, columns: dict[str, float], fs: list[str], keep: str) -> str:
+    """BM25 over units whose weighted counts are the expressions fs on the token lists t_<column>."""
     d = " + ".join(f"len(t_{c})" for c in columns)
-    fs = [" + ".join(f"{columns[c]} * len(list_filter(t_{c}, lambda x: x = '{t}'))" for c in used) for t in terms]
-    n = len(terms)
+    n = len(fs)
     score = " + ".join(f"CASE WHEN f{i} > 0 THEN greatest(ln((N - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * d / avg_d)) ELSE 0 END" for i in range(n))
     return f"""WITH t AS (SELECT {key} AS key, {", ".join(f"{toks(c)} AS t_{c}" for c in columns)} FROM {table}),
 c AS (SELECT key, {d} AS d, {", ".join(f"CAST({f} AS DOUBLE) AS f{i}" for i, f in enumerate(fs))} FROM t),
 s AS (SELECT count(*) AS N, avg(d) AS avg_d, {", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(n))} FROM c)
-SELECT key, round(-({score}), 9) AS rank FROM c, s WHERE {(" AND " if every else " OR ").join(f"f{i} > 0" for i in range(n))}"""
+SELECT key, round(-({score}), 9) AS rank FROM c, s WHERE {keep}"""
+
+
+def bm25_sql(table: str, key: str, columns: dict[str, float], terms: list[str], every: bool, scope: str | None = None) -> str:
+    used = [scope] if scope else list(columns)
+    fs = [" + ".join(word_sql(c, t, columns[c]) for c in used) for t in terms]
+    return rank_sql(table, key, columns, fs, (" AND " if every else " OR ").join(f"f{i} > 0" for i in range(len(terms))))
+
+
+def word_sql(c: str, word: str, weight: float = 1.0) -> str:
+    return f"{weight} * len(list_filter(t_{c}, lambda x: x = '{word}'))"
+
+
+def prefix_sql(c: str, start: str, weight: float = 1.0) -> str:
+    return f"{weight} * len(list_filter(t_{c}, lambda x: starts_with(x, '{start}')))"
+
+
+def phrase_sql(c: str, words: list[str], weight: float = 1.0) -> str:
+    same = " AND ".join(f"t_{c}[i + {k}] = '{w}'" for k, w in enumerate(words))
+    return f"{weight} * len(list_filter(range(1, len(t_{c}) + 1), lambda i: {same}))"
+
+
+DOC = {"text": 1.0, "source": 1.0}
+DOC_FIELDS = ["text", "source"]
+
+
+def _index(spark, d, table: str, key: str, columns: list[str]):
+    """Stored postings and statistics of a table's columns."""
+    name = f"{table}-{'-'.join(columns)}"
+    made: dict = {}
+
+    def make(which: int):
+        if not made:
+            made[0], made[1] = search.index(load(spark, d, table), key, columns)
+        return made[which]
+
+    return stored(spark, d, f"postings-{name}", [table], lambda: make(0)), stored(spark, d, f"lengths-{name}", [table], lambda: make(1))
+
+
+def _documents(spark, d):
+    return _index(spark, d, "documents", "doc_id", DOC_FIELDS)
 
 
 PART = {"p_name": 5.0, "p_brand": 2.0, "p_type": 1.0}
@@ -44,21 +84,39 @@ PART = {"p_name": 5.0, "p_brand": 2.0, "p_type": 1.0}
 
 @query(bm25_sql("documents", "doc_id", {"text": 1.0, "source": 1.0}, ["and", "the"], True))
 def bm25_documents(spark, d):
-    return search.bm25(load(spark, d, "documents"), "doc_id", {"text": 1.0, "source": 1.0}, ["the and"], every_term=True)
+    return search.bm25_on(*_documents(spark, d), DOC, ["the and"], every_term=True)
 
 
 @query(bm25_sql("documents", "doc_id", {"text": 1.0, "source": 1.0}, ["idiot"], True, "text"))
 def bm25_content_scope(spark, d):
-    return search.bm25(load(spark, d, "documents"), "doc_id", {"text": 1.0, "source": 1.0}, ["idiot"], every_term=True, scope="text")
+    return search.bm25_on(*_documents(spark, d), DOC, ["idiot"], every_term=True, scope="text")
+
 
+@query(rank_sql("documents", "doc_id", DOC, [f"{phrase_sql('text', ['of', 'the'])} + {phrase_sql('source', ['of', 'the'])}"], "f0 > 0"))
+def search_phrase(spark, d):
+    return search.search(*_documents(spark, d), DOC, '"of the"')
 
-def _part_terms(spark, d):
-    return load(spark, d, "part")
+
+@query(rank_sql("documents", "doc_id", DOC, [f"{word_sql('text', 'idiot')} + {word_sql('source', 'idiot')}", f"{word_sql('text', 'moron')} + {word_sql('source', 'moron')}", f"{word_sql('text', 'the')} + {word_sql('source', 'the')}"], "(f0 > 0 OR f1 > 0) AND NOT f2 > 0"))
+def search_boolean(spark, d):
+    return search.search(*_documents(spark, d), DOC, "(idiot OR moron) NOT the")
+
+
+@query(rank_sql("documents", "doc_id", DOC, [f"{prefix_sql('text', 'idio')} + {prefix_sql('source', 'idio')}", word_sql("source", "src1")], "f0 > 0 AND f1 > 0"))
+def search_prefix_and_column(spark, d):
+    return search.search(*_documents(spark, d), DOC, "idio* AND source: src1")
+
+
+@query(bm25_sql("part", "p_partkey", {"p_name": 5.0, "p_brand": 2.0, "p_type": 1.0}, ["brand", "red"], False))
+def anchor_search(spark, d):
+    """A question in natural language: function words fall away, any of the rest may match."""
+    terms = search.anchor_terms("Which of these are of the brand Red?")
+    return search.bm25_on(*_index(spark, d, "part", "p_partkey", list(PART)), PART, terms, every_term=False)
 
 
 @query(bm25_sql("part", "p_partkey", PART, ["1", "brand", "red"], False))
 def bm25_weighted_columns(spark, d):
-    return search.bm25(load(spark, d, "part"), "p_partkey", PART, ["Brand red 1"], every_term=False)
+    return search.bm25_on(*_index(spark, d, "part", "p_partkey", list(PART)), PART, ["Brand red 1"], every_term=False)
 
 
 COS = "round(list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6)"
@@ -79,15 +137,22 @@ def cosine_model_floor(spark, d):
     return search.cosine_topk(load(spark, d, "embeddings").filter("label = 3"), "vec_id", "embedding", _query_vector(spark, d), 20, floor=0.1)
 
 
-LEX = bm25_sql("documents", "doc_id", {"text": 1.0}, ["idiot", "moron"], False)
-RRF = f"""l0 AS ({LEX}), l AS (SELECT key AS id, row_number() OVER (ORDER BY rank, key) AS p FROM (SELECT * FROM l0 ORDER BY rank, key LIMIT 50)),
-v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY cosine DESC, vec_id) AS p FROM (SELECT vec_id, {COS} AS cosine FROM embeddings ORDER BY cosine DESC, vec_id LIMIT 50)),
+LEX = bm25_sql("documents", "doc_id", DOC, ["idiot", "moron"], False)
+POOL, FILTER_POOL = 50, 200
+
+
+def rrf_sql(pool: int) -> str:
+    return f"""l0 AS ({LEX}), l AS (SELECT key AS id, row_number() OVER (ORDER BY rank, key) AS p FROM (SELECT * FROM l0 ORDER BY rank, key LIMIT {pool})),
+v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY cosine DESC, vec_id) AS p FROM (SELECT vec_id, {COS} AS cosine FROM embeddings ORDER BY cosine DESC, vec_id LIMIT {pool})),
 f AS (SELECT coalesce(l.id, v.id) AS id, CAST(l.p AS INTEGER) AS lexical_rank, CAST(v.p AS INTEGER) AS semantic_rank, round(coalesce(1.0::DOUBLE / (60 + l.p), 0) + coalesce(1.0::DOUBLE / (60 + v.p), 0), 9) AS fused FROM l FULL JOIN v ON l.id = v.id)"""
 
 
-def _fused(spark, d):
-    lex = search.bm25(load(spark, d, "documents"), "doc_id", {"text": 1.0}, ["idiot moron"], every_term=False).orderBy("rank", "key").limit(50)
-    sem = search.cosine_topk(load(spark, d, "embeddings"), "vec_id", "embedding", _query_vector(spark, d), 50)
+RRF = rrf_sql(POOL)
+
+
+def _fused(spark, d, pool: int = POOL):
+    lex = search.bm25_on(*_documents(spark, d), DOC, ["idiot moron"], every_term=False).orderBy("rank", "key").limit(pool)
+    sem = search.cosine_topk(load(spark, d, "embeddings"), "vec_id", "embedding", _query_vector(spark, d), pool)
     a = search.ranked(lex.select(F.col("key").alias("id"), "rank"), "rank", "id").select("id", "pos")
     b = search.ranked(sem.select(F.col("vec_id").alias("id"), "cosine"), F.desc("cosine"), "id").select("id", "pos")
     return search.fuse(a, b, "id")
@@ -98,10 +163,10 @@ def rrf_fusion(spark, d):
     return _fused(spark, d)
 
 
-@query(f"WITH {RRF}, g AS (SELECT f.id, source, fused, lexical_rank, row_number() OVER (PARTITION BY source ORDER BY fused DESC, lexical_rank NULLS LAST, f.id) AS k, count(*) OVER (PARTITION BY source) AS n FROM f JOIN documents ON doc_id = f.id WHERE source <> 'src0') SELECT id, source, fused, n FROM g WHERE k = 1")
+@query(f"WITH {rrf_sql(FILTER_POOL)}, g AS (SELECT f.id, source, fused, lexical_rank, row_number() OVER (PARTITION BY source ORDER BY fused DESC, lexical_rank NULLS LAST, f.id) AS k, count(*) OVER (PARTITION BY source) AS n FROM f JOIN documents ON doc_id = f.id WHERE source <> 'src0') SELECT id, source, fused, n FROM g WHERE k = 1")
 def hybrid_topk_per_group(spark, d):
-    """One representative per source over the fused pool of 50 and 50; the excluded source goes after that cut, as in the SQL."""
-    j = _fused(spark, d).join(load(spark, d, "documents").select(F.col("doc_id").alias("id"), "source"), "id").filter("source <> 'src0'")
+    """One representative per source; both lists are four times as long where a filter or a roll-up follows the cut."""
+    j = _fused(spark, d, FILTER_POOL).join(load(spark, d, "documents").select(F.col("doc_id").alias("id"), "source"), "id").filter("source <> 'src0'")
     w = Window.partitionBy("source")
     return j.withColumn("k", F.row_number().over(w.orderBy(F.desc("fused"), F.asc_nulls_last("lexical_rank"), "id"))).withColumn("n", F.count(F.lit(1)).over(w)).filter("k = 1").select("id", "source", "fused", "n")
 
@@ -123,7 +188,7 @@ def content_hash(spark, d):
     return load(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
 
 
-@query("SELECT page_id, regexp_matches(url, '(^|/)(tests?|__tests__|spec)(/|$)') OR regexp_matches(url, '(?i)\\.(test|spec)\\.[a-z]+$') OR regexp_matches(url, '[a-z](Test|Spec)\\.[a-z]+$') AS is_test, regexp_matches(url, '/(fr|de)/') AS indexed FROM pages")
+@query("SELECT page_id, regexp_matches(url, '(^|/)(test|tests|__tests__)(/|$)') OR regexp_matches(url, '(?i)\\.(test|spec)\\.[^/]*$') OR regexp_matches(url, '(Test|TestCase)\\.php$') AS is_test, regexp_matches(url, '/(fr|de)/') AS indexed FROM pages")
 def path_classifier(spark, d):
     return load(spark, d, "pages").select("page_id", T.is_test_path(F.col("url")).alias("is_test"), F.col("url").rlike("/(fr|de)/").alias("indexed"))
 
@@ -174,11 +239,52 @@ def keyset_scan(spark, d):
     return load(spark, d, "documents").select("doc_id", "lang").join(load(spark, d, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
 
 
-@query("SELECT lang AS repo, doc_id, k FROM (SELECT lang, doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS INTEGER) AS k FROM documents) WHERE k <= 3")
+@query(f"SELECT repo, doc_id, rank, k, CAST(row_number() OVER (ORDER BY k, repo) AS INTEGER) AS turn FROM (SELECT lang AS repo, key AS doc_id, rank, CAST(row_number() OVER (PARTITION BY lang ORDER BY rank, key) AS INTEGER) AS k FROM ({bm25_sql('documents', 'doc_id', DOC, ['idiot', 'moron'], False)}) JOIN documents ON doc_id = key) WHERE k <= 5")
 def federated_search(spark, d):
-    """Independent ranking per repository; results are grouped, not interleaved."""
-    w = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
-    return load(spark, d, "documents").select(F.col("lang").alias("repo"), "doc_id", F.row_number().over(w).alias("k")).filter("k <= 3")
+    """One ranked list per repository (language), five of each, dealt in turn."""
+    hits = search.bm25_on(*_documents(spark, d), DOC, ["idiot moron"], every_term=False)
+    j = hits.join(load(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("lang").alias("repo")), "key")
+    top = j.withColumn("k", F.row_number().over(Window.partitionBy("repo").orderBy("rank", "key"))).filter("k <= 5")
+    return search.interleave(top, "repo", "k").select("repo", F.col("key").alias("doc_id"), "rank", "k", "turn")
+
+
+@query("SELECT doc_id, n_chars, source IN ('src0', 'src1') AS own FROM documents ORDER BY source IN ('src0', 'src1') DESC, n_chars DESC, doc_id LIMIT 50")
+def boolean_order(spark, d):
+    own = F.col("source").isin("src0", "src1")
+    return load(spark, d, "documents").select("doc_id", "n_chars", own.alias("own")).orderBy(F.desc("own"), F.desc("n_chars"), "doc_id").limit(50)
+
+
+@query("SELECT DISTINCT substr(sha256(doc_id::VARCHAR), 1, 8) || '-' || lang AS id, 'doc:' || lang || ':' || doc_id AS qualified FROM documents")
+def id_constructors(spark, d):
+    t = load(spark, d, "documents")
+    return t.select(F.concat(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 8), F.lit("-"), "lang").alias("id"), F.concat_ws(":", F.lit("doc"), "lang", "doc_id").alias("qualified")).distinct()
+
+
+@query("SELECT doc_id, md5(text) AS md5, n_chars FROM documents WHERE doc_id = 7 UNION ALL SELECT doc_id, md5(text), n_chars FROM documents WHERE doc_id BETWEEN 20 AND 25")
+def point_lookup(spark, d):
+    """Keys reach the scan as pushed filters."""
+    return load(spark, d, "documents").filter("doc_id = 7 or doc_id between 20 and 25").select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), "n_chars")
+
+
+@query("SELECT event_type, CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 14 DAY GROUP BY 1, 2")
+def relative_window(spark, d):
+    """The last fourteen days before a reference day, by week."""
+    e = load(spark, d, "events").filter(F.col("ts") >= F.expr("timestamp '2024-01-30' - interval 14 days"))
+    return e.groupBy("event_type", F.to_date(F.date_trunc("week", "ts")).alias("week")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT user_id, array_to_string(list_sort(list(event_type || '=' || n)), ',') AS by_type FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
+def map_of_counts(spark, d):
+    """A map per user, printed in key order; it has one entry per event type."""
+    per = load(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    counts = per.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    return counts.select("user_id", F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",").alias("by_type"))
+
+
+@query("SELECT page_id, count(*) AS anchors, count(DISTINCT tag) AS tags FROM (SELECT page_id, unnest(regexp_extract_all(html, '<(h[1-6]|article|section|nav|main)[ >]', 1)) AS tag FROM pages) GROUP BY 1")
+def surface_extract(spark, d):
+    t = load(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<(h[1-6]|article|section|nav|main)[ >]"), F.lit(1))).alias("tag"))
+    return t.groupBy("page_id").agg(F.count(F.lit(1)).alias("anchors"), F.countDistinct("tag").alias("tags"))
 
 
 @query()

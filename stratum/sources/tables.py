@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratum.sources.stored import stored
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,7 +20,53 @@ def node(kind: str, key: str):
     return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
 
 
+GRAPH_TABLES = ["lineitem", "orders", "customer", "supplier", "nation"]
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored edges: sorted by src within each file, so that a scan for a few sources skips most row groups."""
+    return stored(spark, sf_dir, "edges", GRAPH_TABLES, lambda: project_edges(spark, sf_dir).repartition("src").sortWithinPartitions("src", "id"))
+
+
+def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same edges laid out by dst."""
+    return stored(spark, sf_dir, "incoming", GRAPH_TABLES, lambda: edges(spark, sf_dir).repartition("dst", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("dst", "id"))
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, node_type, label, file_path, origin (every fifth supplier is of a vendor)."""
+    def make() -> DataFrame:
+        out = None
+        for kind, table, key, label in NODE_TABLES:
+            rows = load(spark, sf_dir, table)
+            origin = F.when(F.pmod(key, F.lit(5)) == 0, "vendor").otherwise("local") if kind == "supplier" else F.lit("local")
+            one = rows.select(node(kind, key).alias("id"), F.lit(kind).alias("node_type"), F.expr(label).alias("label"), F.concat(F.lit(f"{kind}s/"), F.col(key) % 100, F.lit(f"/{kind}.tbl")).alias("file_path"), origin.alias("origin"))
+            out = one if out is None else out.unionByName(one)
+        return out.repartition("id").sortWithinPartitions("id")
+
+    return stored(spark, sf_dir, "nodes", ["orders", "part", "supplier", "customer", "nation", "region"], make)
+
+
+NODE_TABLES = [("order", "orders", "o_orderkey", "o_orderstatus"), ("part", "part", "p_partkey", "p_name"), ("supplier", "supplier", "s_suppkey", "s_name"), ("customer", "customer", "c_custkey", "c_name"), ("nation", "nation", "n_nationkey", "n_name"), ("region", "region", "r_regionkey", "r_name")]
+NODES_SQL = "nodes AS (" + " UNION ALL ".join(f"SELECT '{k}:' || {c} AS id, '{k}' AS node_type, {n} AS label, '{k}s/' || ({c} % 100) || '/{k}.tbl' AS file_path, " + (f"CASE WHEN {c} % 5 = 0 THEN 'vendor' ELSE 'local' END" if k == "supplier" else "'local'") + f" AS origin FROM {t}" for k, t, c, n in NODE_TABLES) + ")"
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """edge_id, resolver, evidence_kind, line: one row per line item behind an edge order -> part."""
+    def make() -> DataFrame:
+        line = load(spark, sf_dir, "lineitem")
+        edge = F.concat_ws("|", node("order", "l_orderkey"), F.lit("contains"), node("part", "l_partkey"))
+        resolver = F.element_at(F.create_map(*[F.lit(x) for kv in RESOLVERS.items() for x in kv]), F.col("l_returnflag"))
+        return line.select(edge.alias("edge_id"), resolver.alias("resolver"), F.when(F.col("l_linestatus") == "F", "call").otherwise("import").alias("evidence_kind"), F.col("l_linenumber").alias("line"))
+
+    return stored(spark, sf_dir, "evidence", ["lineitem"], make)
+
+
+RESOLVERS = {"A": "ast", "N": "facade", "R": "pattern"}
+EVIDENCE_SQL = "evidence AS (SELECT 'order:' || l_orderkey || '|contains|part:' || l_partkey AS edge_id, CASE l_returnflag WHEN 'A' THEN 'ast' WHEN 'N' THEN 'facade' WHEN 'R' THEN 'pattern' END AS resolver, CASE WHEN l_linestatus = 'F' THEN 'call' ELSE 'import' END AS evidence_kind, l_linenumber AS line FROM lineitem)"
+
+
+def project_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst, edge_type, confidence, confidence_class, id = src|type|dst; one row per endpoint pair and type."""
     line = load(spark, sf_dir, "lineitem")
     orders, customer, supplier, nation = (load(spark, sf_dir, t) for t in ("orders", "customer", "supplier", "nation"))
