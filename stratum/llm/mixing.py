@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.llm.common import BLANKS, stage, word_count
+from stratum.llm.common import stage, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -33,17 +33,17 @@ def quality_weight(text: Column) -> Column:
 
     Shares of the text's characters that are symbols or digits (up to a tenth is free) and
     capitals (up to a fifth), and how far the mean word length lies outside 3 to 9.  Null
-    and empty texts weigh 0.25.
+    and empty texts count as one word of one character.  No part is conditional, so that
+    common parts are computed once.
     """
-    t = F.coalesce(text, F.lit(""))
+    t, words = F.coalesce(text, F.lit("")), F.greatest(word_count(text), F.lit(1))
     n = F.greatest(F.length(t), F.lit(1))
     odd = (F.length(t) - F.length(F.translate(t, "#*$%&|<>{}[]=_~^!0123456789", ""))) / n
     upper = (F.length(t) - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))) / n
-    blanks = F.length(t) - F.length(F.translate(t, BLANKS, ""))
-    mean = (n - blanks) / (blanks + 1)
+    mean = (n - words + 1) / words
     off = F.greatest(F.lit(3.0) - mean, mean - 9.0, F.lit(0.0))
     penalty = 3.0 * F.greatest(odd - 0.1, F.lit(0.0)) + 2.0 * F.greatest(upper - 0.2, F.lit(0.0)) + 0.1 * off
-    return F.when(t == "", F.lit(0.25)).otherwise(F.greatest(F.lit(0.25), F.lit(1.0) - penalty))
+    return F.greatest(F.lit(0.25), F.lit(1.0) - penalty)
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
