@@ -464,6 +464,58 @@ def test_forest_verdicts_agree_with_a_plain_walk(docs, labels, texts):
         assert abs(score - r.score) < 1e-9 and r.kept == (not r.base_failed and r.score <= thresholds[band])
 
 
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """A folder of 13,500 short labelled documents, more than any forest draws its splits from."""
+    rng, at = np.random.default_rng(8), str(tmp_path_factory.mktemp("many"))
+    docs, labels = [], []
+    for k in range(13_500):
+        w = [f"w{v}" for v in rng.integers(0, 10 + 3 * (k % 97), 20 + int(rng.integers(0, 60)) + 200 * (k % 9 == 0))]
+        w = [x.upper() if u < 0.02 else x + "#" if u < 0.03 + 0.2 * (k % 40 == 0) else x for x, u in zip(w, rng.random(len(w)), strict=True)]
+        docs.append((k, " ".join(w)))
+        labels.append((k, int(k % 7 > 0)))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality long").write.parquet(f"{at}/labels.parquet")
+    return at, dict(docs), dict(labels)
+
+
+def test_forest_and_thresholds_come_from_all_labelled_rows(spark, many):
+    at, texts, good = many
+    assert len(texts) > quality.TREES * quality.TREE_ROWS
+    forest, thresholds = quality.fit(spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet"))
+    base, x = quality.statistics([texts[k].encode() for k in sorted(texts)])
+    ok = ~quality.base_failed(base)
+    words, x, good = base[ok, 0], x[ok], np.array([good[k] for k in sorted(good)])[ok] == 1
+    assert np.array_equal(forest.center, np.median(x, axis=0))
+    leaves = list(forest.leaves(x, words))
+    for at_leaf, (feature, _, left, right, path) in zip(leaves, forest.nodes, strict=True):
+        level = np.zeros(len(feature))
+        for i in np.flatnonzero(feature >= 0):
+            level[[left[i], right[i]]] = level[i] + 1
+        for leaf, n in zip(*np.unique(at_leaf, return_counts=True), strict=True):
+            assert path[leaf] == level[leaf] + quality.average_path(quality.TREE_ROWS * n / len(x))
+    scores, band = forest.score(x, words), np.digitize(words, quality.BANDS)
+    for b in range(len(thresholds)):
+        s = np.sort(scores[good & (band == b)])
+        assert len(s) > 1000 and thresholds[b] == pytest.approx(s[int(np.ceil(quality.KEEP_GOOD * len(s))) - 1], abs=1e-9)
+
+
+def test_order_statistics_agree_with_sorting(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, float(v)) for k in (0, 3) for v in np.concatenate([rng.normal(size=3000) * 10.0 ** rng.integers(-9, 9, 3000), np.zeros(2000), [1e300, -5e-324]])]
+    rows += [(4, 7.0), (5, 1.0), (5, 1.0), (5, 1.0 + 2**-52)]
+    got = quality.order_statistics(spark.createDataFrame(rows, "key long, value double"), lambda n: [0, n // 3, (n - 1) // 2, n // 2, n - 1])
+    for key in (0, 3, 4, 5):
+        s = sorted(v for k, v in rows if k == key)
+        assert got[key] == [s[i] for i in (0, len(s) // 3, (len(s) - 1) // 2, len(s) // 2, len(s) - 1)]
+
+
+@pytest.mark.parametrize("n", [2, 3, 10, 64])
+def test_average_path_of_whole_numbers(n):
+    assert quality.average_path(n) == pytest.approx(2 * sum(1 / k for k in range(1, n)) - 2 * (n - 1) / n, abs=1e-7)
+    assert quality.average_path(1) == quality.average_path(0.3) == 0 < quality.average_path(1.001) < 0.01
+
+
 def test_near_stage_finds_what_brute_force_finds(spark, docs, texts):
     import corpus_pipeline
 
