@@ -500,6 +500,21 @@ def test_forest_and_thresholds_come_from_all_labelled_rows(spark, many):
         assert len(s) > 1000 and thresholds[b] == pytest.approx(s[int(np.ceil(quality.KEEP_GOOD * len(s))) - 1], abs=1e-9)
 
 
+def test_quality_stage_keeps_its_share_of_all_good_rows(spark, many):
+    import corpus_pipeline
+
+    at, _, good = many
+    docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))
+    rows = [r for r in quality.quality(docs, labels).collect() if not r.base_failed]
+    want = set()
+    for b in range(len(quality.BANDS) + 1):
+        band = [r for r in rows if sum(r.n_words >= e for e in quality.BANDS) == b]
+        s = sorted(r.score for r in band if good[r.doc_id] == 1)
+        most = s[int(np.ceil(quality.KEEP_GOOD * len(s))) - 1] + 1e-12
+        want |= {r.doc_id for r in band if r.score <= most}
+    assert {r.doc_id for r in corpus_pipeline.quality_stage(spark, docs, at).collect()} == want
+
+
 def test_order_statistics_agree_with_sorting(spark):
     rng = np.random.default_rng(2)
     rows = [(k, float(v)) for k in (0, 3) for v in np.concatenate([rng.normal(size=3000) * 10.0 ** rng.integers(-9, 9, 3000), np.zeros(2000), [1e300, -5e-324]])]
