@@ -1,14 +1,15 @@
 """Quality rules: an isolation forest over rule statistics, threshold from labelled rows.
 
-All labelled rows that pass the base rules are fitted on.  The splits of a tree are drawn
-on ``TREE_ROWS`` of them, as the method has it; then all of them go down every tree, and
-the size of a leaf is its share of them times ``TREE_ROWS``.  A document's score is the
-usual ``2 ** (-mean path length / c(TREE_ROWS))``.  Ratios of short texts are noisy, so
+Every tree is grown on all labelled rows that pass the base rules, none is left out: each
+level's cuts are drawn between the least and the greatest value of all rows in a node.
+Trees are as deep as for ``TREE_ROWS`` rows, and the size of a leaf is its share of all rows
+times ``TREE_ROWS``.  A document's score is the usual
+``2 ** (-mean path length / c(TREE_ROWS))``.  Ratios of short texts are noisy, so
 each is shrunk towards the median of all labelled rows as if ``PRIOR_WORDS`` usual words
 were added.  Thresholds, one per length band, are the lowest that keep at least
 ``KEEP_GOOD`` of all rows labelled good in that band.
 Medians and thresholds are exact: value ranges are narrowed by counts, so the driver gets
-``CELLS`` counts a range and the rows of the splits, whatever the corpus.
+``CELLS`` counts a range, and one range a node and feature, whatever the corpus.
 Texts are never shuffled; their statistics meet the labels.
 """
 
@@ -117,7 +118,9 @@ def average_path(n: float) -> float:
 class IsolationForest:
     """Random axis-parallel splits, stored as flat arrays (a few hundred kB, whatever the corpus).
 
-    ``grow`` draws the splits, ``weigh`` sets the path lengths from the rows in each leaf.
+    ``open`` makes each tree one leaf.  ``split`` adds a level from the ranges of all rows in
+    each leaf; ``spans`` has those of some rows, and parts combine by minimum and maximum.
+    ``weigh`` sets the path lengths from the rows in each leaf.
     """
 
     def __init__(self, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 13):
@@ -129,41 +132,51 @@ class IsolationForest:
         return (w * x + PRIOR_WORDS * self.center) / (w + PRIOR_WORDS)
 
     def fit(self, x: np.ndarray, words: np.ndarray) -> IsolationForest:
-        self.grow(x, words, np.median(x, axis=0))
+        self.open(len(x), np.median(x, axis=0))
+        while self.level < self.depth:
+            self.split(*self.spans(x, words))
         return self.weigh(self.leaf_counts(x, words))
 
-    def grow(self, x: np.ndarray, words: np.ndarray, center: np.ndarray) -> IsolationForest:
-        """Splits from rows in random order: own rows for each tree if there are enough, else drawn for each."""
-        rng = np.random.default_rng(self.seed)
+    def open(self, n: int, center: np.ndarray) -> IsolationForest:
+        """Trees without splits, for n rows in all."""
         self.center = center
-        x = self.shrunk(x, words)
-        self.size = size = min(self.rows, len(x))
+        self.size = size = min(self.rows, n)
         self.norm = max(average_path(size), 1.0)
-        depth = max(1, math.ceil(math.log2(max(size, 2))))
-        for t in range(self.trees):
-            own = len(x) >= self.trees * size
-            part = x[t * size : (t + 1) * size] if own else x[rng.choice(len(x), size, replace=False)]
-            feature, split, left, right, path = [], [], [], [], []
-
-            def grow(rows: np.ndarray, level: int) -> int:
-                me = len(feature)
-                for a, v in ((feature, -1), (split, 0.0), (left, 0), (right, 0), (path, float(level))):
-                    a.append(v)
-                spread = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if len(rows) else []
-                if level < depth and len(rows) > 1 and len(spread):
-                    f = int(rng.choice(spread))
-                    cut = rng.uniform(rows[:, f].min(), rows[:, f].max())
-                    side = rows[:, f] < cut
-                    if side.any() and not side.all():
-                        feature[me], split[me] = f, cut
-                        left[me] = grow(rows[side], level + 1)
-                        right[me] = grow(rows[~side], level + 1)
-                return me
-
-            grow(part, 0)
-            self.nodes.append((np.array(feature), np.array(split), np.array(left), np.array(right), np.array(path)))
+        self.level, self.depth = 0, max(1, math.ceil(math.log2(max(size, 2))))
+        self.nodes = [(np.array([-1]), np.zeros(1), np.zeros(1, dtype=int), np.zeros(1, dtype=int), np.zeros(1)) for _ in range(self.trees)]
         return self
 
+    def spans(self, x: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest value of each feature in each node that is a leaf, all trees after one another."""
+        values, base = np.ascontiguousarray(self.shrunk(x, words).T), 0
+        lo = np.full((len(values), sum(len(n[0]) for n in self.nodes)), math.inf)
+        hi = -lo
+        for at, nodes in zip(self.leaves(x, words), self.nodes, strict=True):
+            for k, v in enumerate(values):
+                np.minimum.at(lo[k], base + at, v)
+                np.maximum.at(hi[k], base + at, v)
+            base += len(nodes[0])
+        return lo, hi
+
+    def split(self, lo: np.ndarray, hi: np.ndarray) -> None:
+        """Cut each leaf of the last level whose rows differ; lo and hi are the ranges of all rows."""
+        rng, base = np.random.default_rng((self.seed, self.level)), 0
+        for t, (feature, split, left, right, path) in enumerate(self.nodes):
+            n = size = len(feature)
+            for me in np.flatnonzero(path == self.level):
+                a, b = lo[:, base + me], hi[:, base + me]
+                spread = np.flatnonzero(b > a)
+                if len(spread):
+                    f = int(rng.choice(spread))
+                    cut = rng.uniform(a[f], b[f])
+                    if cut > a[f]:
+                        feature[me], split[me], left[me], right[me] = f, cut, n, n + 1
+                        n += 2
+            base += size
+            more = (0, n - size)
+            self.nodes[t] = (np.pad(feature, more, constant_values=-1), np.pad(split, more), np.pad(left, more), np.pad(right, more), np.pad(path, more, constant_values=self.level + 1.0))
+        self.level += 1
+
     def leaves(self, x: np.ndarray, words: np.ndarray) -> Iterator[np.ndarray]:
         """For each tree the leaf of each row."""
         x = self.shrunk(x, words)
@@ -258,19 +271,30 @@ def _numbers(batch: pa.RecordBatch, *names: str) -> tuple[np.ndarray, np.ndarray
     return np.stack(columns, axis=1), x.reshape(batch.num_rows, -1)
 
 
-def _split_rows(rows: DataFrame, n: int, most: int) -> list:
-    """``most`` of n rows (all, if fewer) in random order: those of the smallest hashes."""
-    hashed, part = rows.withColumn("h", F.xxhash64("doc_id", F.lit(3))), 1.2 * most / n
-    while True:
-        below = hashed.filter(F.col("h") < int(-(2**63) + part * 2**64)) if part < 1 else hashed
-        got = below.orderBy("h", "doc_id", "quality", "n_words", "x").limit(most).collect()
-        if len(got) == min(most, n) or part >= 1:
-            return got
-        part *= 2
+def _spans(rows: DataFrame, forest: IsolationForest) -> tuple[np.ndarray, np.ndarray]:
+    """``forest.spans`` of all rows; the driver gets one range a leaf and feature."""
+    lo = np.full((len(forest.center), sum(len(n[0]) for n in forest.nodes)), math.inf)
+    nothing = (lo, -lo)
+
+    def found(batches):
+        lo, hi = nothing
+        for batch in batches:
+            if batch.num_rows:
+                words, x = _numbers(batch, "n_words")
+                a, b = forest.spans(x, words[:, 0])
+                lo, hi = np.minimum(lo, a), np.maximum(hi, b)
+        at = np.nonzero(lo <= hi)
+        if len(at[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(at[0]), pa.array(at[1]), pa.array(lo[at]), pa.array(hi[at])], names=["feature", "node", "lo", "hi"])
+
+    hi = -lo
+    for r in rows.mapInArrow(found, "feature long, node long, lo double, hi double").groupBy("feature", "node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect():
+        lo[r.feature, r.node], hi[r.feature, r.node] = r.lo, r.hi
+    return lo, hi
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep_good: float = KEEP_GOOD) -> tuple[IsolationForest, np.ndarray]:
-    """Forest and thresholds from all labelled documents; collects ``TREES * TREE_ROWS`` rows at most."""
+    """Forest and thresholds from all labelled documents; collects counts and ranges, no rows."""
     return _fit(measured(docs), labels, keep_good)
 
 
@@ -284,8 +308,9 @@ def _fit(stats: DataFrame, labels: DataFrame, keep_good: float = KEEP_GOOD) -> t
         unstage(rows)
         return forest, thresholds
     middle = order_statistics(rows.select(F.posexplode("x").alias("key", "value")), lambda n: [(n - 1) // 2, n // 2])
-    drawn = _split_rows(rows, n, forest.trees * forest.rows)
-    forest.grow(np.array([r.x for r in drawn]), np.array([r.n_words for r in drawn]), np.array([np.mean(middle[k]) for k in sorted(middle)]))
+    forest.open(n, np.array([np.mean(middle[k]) for k in sorted(middle)]))
+    while forest.level < forest.depth:
+        forest.split(*_spans(rows, forest))
 
     def count(batches):
         total = 0

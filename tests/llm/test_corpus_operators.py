@@ -500,6 +500,25 @@ def test_forest_and_thresholds_come_from_all_labelled_rows(spark, many):
         assert len(s) > 1000 and thresholds[b] == pytest.approx(s[int(np.ceil(quality.KEEP_GOOD * len(s))) - 1], abs=1e-9)
 
 
+def test_one_odd_row_of_many_moves_the_cuts_of_every_tree():
+    x = np.random.default_rng(4).uniform(size=(3 * quality.TREES * quality.TREE_ROWS, 3))
+    x[7] = 100
+    f = quality.IsolationForest().fit(x, np.full(len(x), 500))
+    # a root's cut between the others and the odd row: 99 of 100, if the tree has seen that row
+    assert sum(split[0] > f.shrunk(x[:1] * 0 + 1, np.array([500]))[0, 0] for _, split, *_ in f.nodes) > 0.9 * quality.TREES
+
+
+def test_splits_in_spark_are_those_of_the_whole_table(spark, many):
+    at, texts, _ = many
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    forest, _ = quality.fit(docs, spark.read.parquet(f"{at}/labels.parquet"))
+    base, x = quality.statistics([t.encode() for t in texts.values()])
+    ok = ~quality.base_failed(base)
+    plain = quality.IsolationForest().fit(x[ok], base[ok, 0])
+    assert all(np.array_equal(a, b) for p, q in zip(forest.nodes, plain.nodes, strict=True) for a, b in zip(p, q, strict=True))
+    assert {r.doc_id: r.kept for r in quality.quality(docs, spark.read.parquet(f"{at}/labels.parquet")).collect()} == {r.doc_id: r.kept for r in quality.quality(docs.repartition(7), spark.read.parquet(f"{at}/labels.parquet")).collect()}
+
+
 def test_quality_stage_keeps_its_share_of_all_good_rows(spark, many):
     import corpus_pipeline
 
