@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.llm.common import stage, word_count
+from stratum.llm.common import stage, unstage, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -118,12 +118,18 @@ def _plan(sized: DataFrame, weights, share: float, max_epochs: float, bins: int)
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, quality: Column | None = None, seed: int = 7, bins: int = BINS) -> DataFrame:
     """The rows of docs as often as the mix takes them, with all their columns.
 
-    The rows are staged with a number each, so that verdicts go to rows, not to ids: the
-    words of the result are ``sum(taken)`` also where ids repeat or are null.
+    Verdicts go to rows: the words of the result are ``sum(taken)`` also where ids repeat or
+    are null.  Where no id does, an id is a row and docs is read again; it must give the
+    same rows then.  Else the rows are staged whole, with a number each.
     """
-    rows = stage(docs.withColumn("__mix_row", F.monotonically_increasing_id()), "mix-rows")
-    plan = _plan(_sized(rows, quality, seed, bins), weights, share, max_epochs, bins).filter("epochs > 0").select(F.col("__mix_row").alias("__mix_at"), F.col("epochs").alias("__mix_epochs"))
-    joined = rows.join(plan, F.col("__mix_row") == F.col("__mix_at"))
+    rows, at = docs, "doc_id"
+    sized = _sized(docs.withColumn("__mix_row", F.monotonically_increasing_id()), quality, seed, bins)
+    if not sized.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).filter("doc_id is null or times > 1").isEmpty():
+        unstage(sized)
+        rows, at = stage(docs.withColumn("__mix_row", F.monotonically_increasing_id()), "mix-rows"), "__mix_row"
+        sized = _sized(rows, quality, seed, bins)
+    plan = _plan(sized, weights, share, max_epochs, bins).filter("epochs > 0").select(F.col(at).alias("__mix_at"), F.col("epochs").alias("__mix_epochs"))
+    joined = rows.join(plan, rows[at] == F.col("__mix_at"))
     return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_epochs")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -418,6 +418,22 @@ def test_mix_agrees_with_brute_force(docs, texts):
         assert r.epochs in (whole, whole + 1)
 
 
+@pytest.mark.parametrize("repeat", [False, True])
+def test_mixed_rows_follow_the_plan_and_texts_are_staged_for_repeated_ids_only(docs, monkeypatch, repeat):
+    docs = docs.unionByName(docs.filter("doc_id % 40 = 0")) if repeat else docs
+    staged = []
+    monkeypatch.setattr(mixing, "stage", lambda df, tag, put=mixing.stage: staged.append(df.columns) or put(df, tag))
+    rows = collections.Counter(tuple(r) for r in mixing.mixed(docs).collect())
+    assert any("text" in columns for columns in staged) == repeat
+    epochs = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        epochs[r.doc_id] += r.epochs
+    got = collections.Counter()
+    for r, n in rows.items():
+        got[r[docs.columns.index("doc_id")]] += n
+    assert +got == +epochs and set(rows) <= {tuple(r) for r in docs.collect()}
+
+
 def test_toxicity_agrees_with_a_plain_model(spark, docs, labels, texts):
     """FTRL-proximal once more, on dictionaries and in the same order of rows."""
     gold = {r.doc_id: r.toxic for r in labels.collect()}
