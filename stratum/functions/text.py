@@ -10,8 +10,9 @@ FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(F.coalesce(text, F.lit(""))), FOLD_FROM, FOLD_TO)
+    """Lower case without accents; ASCII text, which has none, skips the slow translation."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, FOLD_FROM, FOLD_TO))
 
 
 def tokens(text: Column) -> Column:

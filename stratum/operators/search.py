@@ -94,18 +94,31 @@ def parse(query: str, columns: list[str]) -> tuple[tuple, list[Leaf]]:
     return tree, leaves
 
 
-def index(rows: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Postings (term, key, col, positions, d), laid out by term, and one row of statistics (N, avg_d)."""
-    listed = {c: tokens(fold(F.col(c))) for c in columns}
-    sized = rows.select(F.col(key).alias("key"), *[t.alias(f"t_{c}") for c, t in listed.items()]).withColumn("d", sum((F.size(f"t_{c}") for c in columns), F.lit(0)))
+def index(rows: DataFrame, key: str, columns: list[str], segments: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings (term, key, col, pos, d), one row per occurrence, and one row of statistics (N, avg_d).
+
+    A row's postings stay in the partition of the row, sorted by term there: each written
+    file is a segment, of which a query reads the pages of its terms.  Only the rows
+    themselves are exchanged, and only if ``segments`` is given, which keeps each sort in memory.
+    """
+    own = rows.select(F.col(key).alias("key"), *[F.col(c).alias(f"c_{c}") for c in columns])
+    if segments:
+        own = own.repartition(segments, "key")
+    sized = own.select("key", *[tokens(fold(F.col(f"c_{c}"))).alias(f"t_{c}") for c in columns]).withColumn("d", sum((F.size(f"t_{c}") for c in columns), F.lit(0)))
     stats = sized.agg(F.count(F.lit(1)).alias("N"), F.avg("d").alias("avg_d"))
 
     def entry(c: str):
         return lambda x, i: F.struct(x.alias("term"), F.lit(c).alias("col"), i.alias("pos"))
 
     entries = F.concat(*[F.transform(f"t_{c}", entry(c)) for c in columns])
-    per = sized.select("key", "d", F.explode(entries).alias("e")).groupBy(F.col("e.term").alias("term"), "key", F.col("e.col").alias("col"), "d")
-    return per.agg(F.sort_array(F.collect_list("e.pos")).alias("positions")).repartition("term").sortWithinPartitions("term", "key"), stats
+    postings = sized.select("key", "d", F.explode(entries).alias("e")).select("e.term", "key", "e.col", "e.pos", "d")
+    return postings.sortWithinPartitions("term", "key"), stats
+
+
+def statistics(rows: DataFrame, postings: DataFrame) -> DataFrame:
+    """The statistics of ``index`` from stored postings: both counts come from file footers, no text is read."""
+    n, all_d = rows.agg(F.count(F.lit(1)).alias("N")), postings.agg(F.count(F.lit(1)).alias("all_d"))
+    return n.crossJoin(F.broadcast(all_d)).select("N", (F.col("all_d").cast("double") / F.nullif("N", F.lit(0))).alias("avg_d"))
 
 
 def search(postings: DataFrame, stats: DataFrame, columns: dict[str, float], query: str) -> DataFrame:
@@ -125,17 +138,22 @@ def _score(postings: DataFrame, stats: DataFrame, columns: dict[str, float], tre
         wanted = wanted | F.col("term").startswith(w)
     hit = postings.filter(wanted)
 
-    def places(word: str, prefix: bool):
-        match = F.col("term").startswith(word) if prefix else F.col("term") == word
-        return F.flatten(F.collect_list(F.when(match, F.col("positions"))))
+    def matches(word: str, prefix: bool):
+        return F.col("term").startswith(word) if prefix else F.col("term") == word
+
+    def asked_by(xs: list[Leaf]) -> list[tuple[str, bool]]:
+        return sorted({(w, x.prefix and k == len(x.words) - 1) for x in xs for k, w in enumerate(x.words)})
 
-    asked = sorted({(w, x.prefix and k == len(x.words) - 1) for x in leaves for k, w in enumerate(x.words)})
-    per = hit.groupBy("key", "col").agg(F.first("d").alias("d"), *[places(*a).alias(f"p{k}") for k, a in enumerate(asked)])
+    # positions are collected for phrases only; words alone are counted
+    lone, joined_up = asked_by([x for x in leaves if len(x.words) == 1]), asked_by([x for x in leaves if len(x.words) > 1])
+    sums = [F.count(F.when(matches(*a), 1)).alias(f"n{k}") for k, a in enumerate(lone)]
+    lists = [F.collect_list(F.when(matches(*a), F.col("pos"))).alias(f"p{k}") for k, a in enumerate(joined_up)]
+    per = hit.groupBy("key", "col").agg(F.first("d").alias("d"), *sums, *lists)
 
     def occurrences(x: Leaf):
-        cols = [f"p{asked.index((w, x.prefix and k == len(x.words) - 1))}" for k, w in enumerate(x.words)]
-        if len(cols) == 1:
-            return F.size(cols[0])
+        if len(x.words) == 1:
+            return F.col(f"n{lone.index((x.words[0], x.prefix))}")
+        cols = [f"p{joined_up.index((w, x.prefix and k == len(x.words) - 1))}" for k, w in enumerate(x.words)]
 
         def goes_on(p):
             found = F.array_contains(cols[1], p + 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions import text as T
 from stratum.operators import search
-from stratum.sources.stored import stored
+from stratum.sources.stored import shares, stored
 from stratum.sources.tables import load
 
 Q: dict = {}
@@ -65,14 +65,9 @@ DOC_FIELDS = ["text", "source"]
 def _index(spark, d, table: str, key: str, columns: list[str]):
     """Stored postings and statistics of a table's columns."""
     name = f"{table}-{'-'.join(columns)}"
-    made: dict = {}
-
-    def make(which: int):
-        if not made:
-            made[0], made[1] = search.index(load(spark, d, table), key, columns)
-        return made[which]
-
-    return stored(spark, d, f"postings-{name}", [table], lambda: make(0)), stored(spark, d, f"lengths-{name}", [table], lambda: make(1))
+    rows = load(spark, d, table)
+    postings = stored(spark, d, f"postings-{name}", [table], lambda: search.index(rows, key, columns, shares(rows))[0])
+    return postings, stored(spark, d, f"lengths-{name}", [table], lambda: search.statistics(rows, postings))
 
 
 def _documents(spark, d):
