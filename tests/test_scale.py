@@ -1,5 +1,6 @@
 """What keeps large inputs within limits, seen on small frames: what a plan exchanges, what a walk reads."""
 
+import re
 from pathlib import Path
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratum.operators import graph, search
 from stratum.plans import graphs
-from stratum.sources import tables
+from stratum.sources import stored, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,7 +81,17 @@ def test_graph_queries_store_no_edges(spark):
     assert plan_of(graphs.trust_summary(spark, SF)).count("Exchange") == 3
 
 
-@pytest.mark.parametrize("name", ["trust_summary"])
+def test_one_task_for_each_share_of_lineitem(spark, monkeypatch):
+    monkeypatch.setattr(stored, "SHARE_BYTES", 4096)
+    n = stored.shares(tables.load(spark, SF, "lineitem"))
+    assert n > 8
+    for name, most in (("dependents_rollup", 3),):
+        dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan_of(graphs.Q[name](spark, SF)))
+        by_key = [x for x in dealt if re.match(r"l_", x)]
+        assert by_key and all(x.endswith(f", {n}") for x in by_key) and len(by_key) <= most
+
+
+@pytest.mark.parametrize("name", ["dependents_rollup", "trust_summary"])
 def test_odd_rows_agree_with_sql(spark, tmp_path, name):
     """Repeated orders, customers and suppliers, missing ones, and keys without a value."""
     con = connect(SF)
