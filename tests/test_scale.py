@@ -85,13 +85,13 @@ def test_one_task_for_each_share_of_lineitem(spark, monkeypatch):
     monkeypatch.setattr(stored, "SHARE_BYTES", 4096)
     n = stored.shares(tables.load(spark, SF, "lineitem"))
     assert n > 8
-    for name, most in (("dependents_rollup", 3),):
+    for name, most in (("dependents_rollup", 3), ("glue_projection", 6)):
         dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan_of(graphs.Q[name](spark, SF)))
         by_key = [x for x in dealt if re.match(r"l_", x)]
         assert by_key and all(x.endswith(f", {n}") for x in by_key) and len(by_key) <= most
 
 
-@pytest.mark.parametrize("name", ["dependents_rollup", "trust_summary"])
+@pytest.mark.parametrize("name", ["dependents_rollup", "glue_projection", "boundary_aggregates", "region_summaries", "trust_summary"])
 def test_odd_rows_agree_with_sql(spark, tmp_path, name):
     """Repeated orders, customers and suppliers, missing ones, and keys without a value."""
     con = connect(SF)
